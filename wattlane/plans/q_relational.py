@@ -539,7 +539,7 @@ agg AS (SELECT c.building_id, c.pos, l.set_value,
                product(CASE WHEN c.op = 'multiply' AND (l.ls IS NULL OR c.seq > l.ls) THEN c.factor ELSE 1.0 END) AS mult
         FROM cov c JOIN last_set l USING (building_id, pos) GROUP BY 1, 2, 3)
 SELECT p.reading_id, p.building_id, p.pos,
-       coalesce(a.set_value, p.meter_reading) * coalesce(a.mult, 1.0) AS meter_reading,
+       round_even(coalesce(a.set_value, p.meter_reading) * coalesce(a.mult, 1.0), 4) AS meter_reading,
        CASE WHEN a.pos IS NULL THEN 0 ELSE 1 END AS flag
 FROM pos p LEFT JOIN agg a USING (building_id, pos)"""
 
@@ -553,7 +553,7 @@ def j7(spark, sf_dir):
     pos = with_positions(r, ["building_id"], ["timestamp", "reading_id"], "pos")
     ev = LD.plant_intervals(r)
     out = LD.overlay_intervals(pos, ev, "building_id", "pos", "meter_reading", "flag")
-    return out.select("reading_id", "building_id", "pos", "meter_reading", "flag")
+    return out.select("reading_id", "building_id", "pos", F.bround("meter_reading", 4).alias("meter_reading"), "flag")
 
 
 @register("J7_interval_overlay_closed_both", _j7_sql(1))
@@ -564,7 +564,7 @@ def j7b(spark, sf_dir):
     pos = with_positions(r, ["building_id"], ["timestamp", "reading_id"], "pos")
     ev = LD.plant_intervals(r)
     out = LD.overlay_intervals(pos, ev, "building_id", "pos", "meter_reading", "flag", closed="both")
-    return out.select("reading_id", "building_id", "pos", "meter_reading", "flag")
+    return out.select("reading_id", "building_id", "pos", F.bround("meter_reading", 4).alias("meter_reading"), "flag")
 
 
 @register("J8_aligned_predictions", SC + """
@@ -622,20 +622,23 @@ _W5_SQL = SH + """
 , o AS (SELECT *, minute("timestamp") AS mi FROM shipments),
 w AS (SELECT l_orderkey, l_linenumber,
   sin(%s * mi / 60.0) AS minute_sin, cos(%s * mi / 60.0) AS minute_cos,
-  lag(value, 1) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber) AS energy_lag_1,
-  lag(value, 24) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber) AS energy_lag_24,
-  CASE WHEN count(value) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
-       THEN avg(value) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END
+  lag(value, 1) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber, l_partkey, building_id, value) AS energy_lag_1,
+  lag(value, 24) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber, l_partkey, building_id, value) AS energy_lag_24,
+  CASE WHEN count(value) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber, l_partkey, building_id, value ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
+       THEN avg(value) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber, l_partkey, building_id, value ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END
        AS energy_rolling_mean_24,
-  CASE WHEN count(value) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
-       THEN stddev_samp(value) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END
+  CASE WHEN count(value) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber, l_partkey, building_id, value ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
+       THEN stddev_samp(value) OVER (ORDER BY "timestamp", l_orderkey, l_linenumber, l_partkey, building_id, value ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END
        AS energy_rolling_std_24, value
   FROM o)
 """ % (PI2, PI2)
 
 
+SHIP_ORDER = ["timestamp", "l_orderkey", "l_linenumber", "l_partkey", "building_id", "value"]
+
+
 def _single_series(spark, sf_dir):
-    return time_features(T.shipments(spark, sf_dir), "value", ["timestamp", "l_orderkey", "l_linenumber"])
+    return time_features(T.shipments(spark, sf_dir), "value", SHIP_ORDER)
 
 
 @register("W5_single_series_features", _W5_SQL + """

@@ -62,7 +62,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem seen as a panel over years: supplier = building."""
+    """lineitem seen as a panel over years: supplier = building.
+
+    (timestamp, l_orderkey, l_linenumber, l_partkey, building_id, value) is
+    the total order used by the single-series windows: order key and line
+    number alone repeat in the driver's table."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_suppkey").alias("building_id"),
@@ -70,6 +74,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         nan_to_null("l_extendedprice").alias("value"),
         F.col("l_orderkey"),
         F.col("l_linenumber"),
+        F.col("l_partkey"),
     )
 
 
@@ -117,7 +122,7 @@ SQL_QUALITY = """quality AS (
 SQL_SHIPMENTS = """shipments AS (
   SELECT l_suppkey AS building_id, l_shipdate AS "timestamp",
          CASE WHEN isnan(l_extendedprice) THEN NULL ELSE l_extendedprice END AS value,
-         l_orderkey, l_linenumber
+         l_orderkey, l_linenumber, l_partkey
   FROM lineitem)"""
 
 SQL_READINGS_HOURLY = SQL_READINGS + """,
