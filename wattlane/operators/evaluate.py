@@ -71,18 +71,22 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> D
             .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> Column:
-    """Area under ROC with ties counted half (Mann-Whitney), as a scalar
-    subquery; NULL when only one class is present.
+def roc_auc_table(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row, ``auc``: area under ROC with ties counted half
+    (Mann-Whitney); NULL when only one class is present.
 
     AUC = sum_s pos(s) * (neg_below(s) + neg(s)/2) / (P * N), where
     neg_below comes from running totals over distinct scores.
     """
     sc = running_totals(score_counts(df, label, score), [], ["threshold"], ["neg"], "_le")
-    agg = sc.select(
+    return sc.select(
         F.try_divide(F.sum(F.col("pos") * (F.col("neg_le") - F.col("neg") / 2.0)),
                      F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
-    return one_row(agg)["auc"]
+
+
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> Column:
+    """``roc_auc_table`` as a scalar subquery."""
+    return one_row(roc_auc_table(df, label, score))["auc"]
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
