@@ -8,23 +8,23 @@ its own rows, and a small table of per-(partition, key) counts turns
 local numbers into positions within the key. Only the count table (about
 one row per partition plus one per key) is ordered by key.
 
-The numbered frame is persisted before it is read twice (by the count
+The numbered frame is written once as a table in the shared scratch
+folder (``spark.checkpoint.dir``) before it is read twice (by the count
 table and by the rows). Without that, column pruning can give the two
-readers different range exchanges whose sampled bounds differ, and the
-partition ids would not agree. A lost cached partition is recomputed from
-the same shuffle (same range partitioner), and the sort is on a total
-order, so it gets the same numbers back after an executor loss.
+readers different range exchanges whose sampled bounds differ, so the
+partition ids would not agree; nested operators would also multiply the
+plan. The written table fixes the numbers, cuts the lineage, and needs no
+recomputation after an executor loss.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STORAGE = StorageLevel.MEMORY_AND_DISK
+from wattlane.session import materialize
 
 
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
@@ -55,8 +55,8 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     s = (df.repartitionByRange(n, *sort_cols)
          .sortWithinPartitions(*sort_cols)
          .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_lid", F.monotonically_increasing_id())
-         .persist(STORAGE))
+         .withColumn("_lid", F.monotonically_increasing_id()))
+    s = materialize(s, "positions")
     runs = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"),
                                         F.min("_lid").alias("_first"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid")
@@ -141,7 +141,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     s = (df.repartitionByRange(n, *sort_cols).withColumn("_pid", F.spark_partition_id()))
     wl = (Window.partitionBy("_pid", *keys).orderBy(*ocols)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = s.withColumns({f"_loc_{c}": F.sum(c).over(wl) for c in cols}).persist(STORAGE)
+    s = materialize(s.withColumns({f"_loc_{c}": F.sum(c).over(wl) for c in cols}), "running")
     runs = s.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
     wk = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)

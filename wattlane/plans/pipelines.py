@@ -67,3 +67,21 @@ def eda_aggregates(df: DataFrame, value: str = "meter_reading", label: str = "an
         "hourly_anomaly_rate": df.groupBy("hour").agg(F.avg(label).alias("anomaly_rate")),
         "correlation": X.correlation_matrix(df, X.numeric_columns(df)),
     }
+
+
+def flagship(spark, sf_dir: str) -> DataFrame:
+    """Readings -> calendar features -> median imputation -> 24-row lag and
+    rolling features per building -> IQR outlier flags and caps -> per
+    (building, hour): rows, outliers, mean capped reading, mean rolling mean."""
+    from wattlane.operators.quality import cap_outliers
+    from wattlane.sources.tables import readings
+
+    f = add_calendar(readings(spark, sf_dir), minute=False)
+    f = impute_median(f, "meter_reading", "building_id")
+    f = lag_rolling(f, ["building_id"], ["timestamp", "reading_id"], "meter_reading", (1, 24), 24)
+    f = cap_outliers(f, ["meter_reading"], "iqr", 1.5, flag_suffix="_outlier")
+    return f.groupBy("building_id", "hour").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("meter_reading_outlier").cast("long").alias("outliers"),
+        F.avg("meter_reading").alias("mean_capped_reading"),
+        F.avg("meter_reading_rolling_mean_24").alias("mean_rolling_mean_24"))

@@ -1 +1,31 @@
-"""Queries (filled in below)."""
+"""C*: composite pipelines registered as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattlane.plans.catalog import R, register
+from wattlane.plans.pipelines import flagship
+
+FLAGSHIP_SQL = R + """
+, g AS (SELECT *, CAST(hour("timestamp") AS INTEGER) AS hour,
+               coalesce(meter_reading, median(meter_reading) OVER (PARTITION BY building_id)) AS m1 FROM readings),
+f AS (SELECT * EXCLUDE (meter_reading, m1), coalesce(m1, (SELECT median(m1) FROM g)) AS meter_reading FROM g),
+w AS (SELECT *, CASE WHEN count(meter_reading) OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id
+                                                     ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
+                     THEN avg(meter_reading) OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id
+                                                   ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END AS rm FROM f),
+q AS (SELECT quantile_cont(meter_reading, 0.05) AS q05, quantile_cont(meter_reading, 0.25) AS q25,
+             quantile_cont(meter_reading, 0.75) AS q75, quantile_cont(meter_reading, 0.95) AS q95 FROM f),
+o AS (SELECT w.*, CAST(coalesce(meter_reading < q25 - 1.5 * (q75 - q25) OR meter_reading > q75 + 1.5 * (q75 - q25), false)
+                       AS INTEGER) AS flag, q05, q95 FROM w, q)
+SELECT building_id, hour, count(*) AS n_rows, CAST(sum(flag) AS BIGINT) AS outliers,
+       avg(CASE WHEN flag = 1 THEN CASE WHEN meter_reading > q95 THEN q95 ELSE q05 END ELSE meter_reading END) AS mean_capped_reading,
+       avg(rm) AS mean_rolling_mean_24
+FROM o GROUP BY 1, 2"""
+
+
+@register("C0_flagship_outliers_by_building_hour", FLAGSHIP_SQL)
+def c0(spark, sf_dir):
+    """The minimum end-to-end slice (also ``entry``)."""
+    return flagship(spark, sf_dir)

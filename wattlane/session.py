@@ -26,6 +26,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master and master.startswith("local"):
+        # Local runs only: the driver JVM is the executor. On a cluster the
+        # deployment sets memory.
+        b = b.config("spark.driver.memory", os.environ.get("WATTLANE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
@@ -58,6 +62,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as a parquet table in the shared scratch folder and read
+    it back: cuts the lineage (small plans, no recomputation after an
+    executor loss) and fixes every value computed so far."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_path(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") else p
 
