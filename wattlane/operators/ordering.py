@@ -19,6 +19,7 @@ recomputation after an executor loss.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,38 @@ from pyspark.sql import functions as F
 
 from wattlane.session import materialize
 
+# Groups up to this many rows are handled by the one-shuffle built-in plan
+# (``row_number`` / ``percentile`` / a plain window): one task holds one
+# group, which is bounded. Larger ("hot") groups take the range-partitioned
+# path. Override per call with ``limit=`` or globally with WATTLANE_GROUP_LIMIT.
+GROUP_LIMIT = int(os.environ.get("WATTLANE_GROUP_LIMIT", 2_000_000))
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None):
+    """(cold rows, hot rows): rows of groups above ``limit`` are hot. Either
+    side is None when empty. The group counts are one partial aggregate;
+    the hot-key table (at most rows / limit keys) is written once and
+    joined semi / anti (AQE broadcasts it when it is small)."""
+    limit = GROUP_LIMIT if limit is None else limit
+    keys = list(keys)
+    if not keys:
+        n = df.count()
+        return (df, None) if n <= limit else (None, df)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") > limit).select(*keys))
+    if hot.isEmpty():
+        return df, None
+    hot = materialize(hot, "hot-keys")
+    cold = df.join(hot, keys, "left_anti")
+    return (None if cold.isEmpty() else cold), df.join(hot, keys, "left_semi")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -42,14 +75,31 @@ def _key_match(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column
 
 
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                   pos_col: str = "pos", partitions: int | None = None) -> DataFrame:
+                   pos_col: str = "pos", partitions: int | None = None,
+                   limit: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 0-based position of the row within ``keys`` (the
     whole table when ``keys`` is empty) in ``order``.
 
     ``order`` should make the order total (end it with a unique column);
-    otherwise ties get some order that is fixed within one run.
+    otherwise ties get some order that is fixed within one run. Bounded
+    groups use ``row_number``; hot groups the range-partitioned numbering.
     """
     keys = list(keys)
+    ocols = [F.col(o) if isinstance(o, str) else o for o in order]
+    cold, hot = split_hot(df, keys, limit)
+    parts = []
+    if cold is not None:
+        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*ocols)
+        parts.append(cold.withColumn(pos_col, F.row_number().over(w) - 1))
+    if hot is not None:
+        parts.append(range_positions(hot, keys, order, pos_col, partitions))
+    return _union(parts)
+
+
+def range_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                    pos_col: str = "pos", partitions: int | None = None) -> DataFrame:
+    """Skew-safe numbering (see module doc); any group size."""
+    keys = list(keys)
     n = _num_partitions(df, partitions)
     sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     s = (df.repartitionByRange(n, *sort_cols)
@@ -74,11 +124,12 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
               names: Sequence[str] | None = None, method: str = "exact",
-              accuracy: int = 10000) -> DataFrame:
+              accuracy: int = 10000, limit: int | None = None) -> DataFrame:
     """Per-key quantiles with linear interpolation (pandas ``quantile``).
 
-    ``method='exact'`` selects the two ranks around p*(n-1) from positioned
-    rows (no value buffer per key, so a hot key is fine). ``'approx'`` uses
+    ``method='exact'``: bounded groups use the ``percentile`` aggregate; hot
+    groups select the two ranks around p*(n-1) from positioned rows (no
+    value buffer per key). ``'approx'`` uses
     ``percentile_approx`` (mergeable sketch, one pass). Nulls are ignored;
     keys whose values are all null get no row.
     """
@@ -94,6 +145,19 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
+    cold, hot = split_hot(d, keys, limit)
+    parts = []
+    if cold is not None:
+        parts.append(cold.groupBy(*keys).agg(*[
+            F.percentile("_v", F.lit(float(p))).alias(nm) for p, nm in zip(probs, names)]))
+    if hot is not None:
+        parts.append(_ranked_quantiles(hot, keys, probs, names))
+    return _union(parts)
+
+
+def _ranked_quantiles(d: DataFrame, keys: list[str], probs: Sequence[float],
+                      names: Sequence[str]) -> DataFrame:
+    """Quantiles from positions: pick the two ranks around p * (n - 1)."""
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     need = []
     for i, p in enumerate(probs):
@@ -104,7 +168,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     wanted = counts.select(*keys, F.explode(F.array(*need)).alias("_q")).select(*keys, "_q.*")
     ranks = wanted.select(*keys, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_pos"))
     ranks = ranks.distinct()
-    pos = with_positions(d, keys, ["_v"], "_pos")
+    pos = range_positions(d, keys, ["_v"], "_pos")
     picked = pos.join(ranks, [*keys, "_pos"] if keys else ["_pos"], "inner")
     lo = picked.select(*keys, F.col("_pos").alias("_lo"), F.col("_v").alias("_vlo"))
     hi = picked.select(*keys, F.col("_pos").alias("_hi"), F.col("_v").alias("_vhi"))
@@ -119,22 +183,49 @@ def median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "med
     return quantiles(df, value, [0.5], keys, [name], method)
 
 
-def one_row(df: DataFrame) -> Column:
-    """A one-row DataFrame as a struct-valued scalar subquery: computed once
-    (Spark reuses identical subqueries) and read field by field."""
-    return df.select(F.struct(*df.columns).alias("_s")).scalar()
+def one_row(df: DataFrame) -> dict:
+    """Fields of a one-row statistics DataFrame as literals (see
+    ``row_literals``); read as ``one_row(df)["name"]``."""
+    return row_literals(df)
+
+
+def row_literals(df: DataFrame) -> dict:
+    """Compute a one-row statistics DataFrame now and return its fields as
+    typed literals. The result is a handful of numbers (bounded), and the
+    plans that use them stay small instead of embedding the statistics'
+    whole lineage once per reference."""
+    row = df.first()
+    out = {}
+    for f in df.schema.fields:
+        v = None if row is None else row[f.name]
+        out[f.name] = F.lit(v).cast(f.dataType)
+    return out
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    cols: Sequence[str], suffix: str = "_cum",
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, limit: int | None = None) -> DataFrame:
     """Inclusive running sums of ``cols`` within ``keys`` in ``order``.
 
-    Same layout as ``with_positions``: range partitioning spreads a hot key,
-    each (partition, key) run sums locally, and a small table of run totals
+    Bounded groups: a plain window. Hot groups: same layout as
+    ``range_positions`` -- range partitioning spreads a hot key, each
+    (partition, key) run sums locally, and a small table of run totals
     supplies the offsets.
     """
     keys = list(keys)
+    ocols = [F.col(o) if isinstance(o, str) else o for o in order]
+    cold, hot = split_hot(df, keys, limit)
+    parts = []
+    if cold is not None:
+        w = ((Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*ocols)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        parts.append(cold.withColumns({f"{c}{suffix}": F.sum(c).over(w) for c in cols}))
+    if hot is not None:
+        parts.append(_range_running(hot, keys, order, cols, suffix, partitions))
+    return _union(parts)
+
+
+def _range_running(df: DataFrame, keys: list[str], order, cols, suffix, partitions) -> DataFrame:
     n = _num_partitions(df, partitions)
     ocols = [F.col(o) if isinstance(o, str) else o for o in order]
     sort_cols = [F.col(k) for k in keys] + ocols

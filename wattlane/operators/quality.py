@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.operators.ordering import median, one_row, quantiles
+from wattlane.operators.ordering import median, quantiles, row_literals
 
 
 def impute_median(df: DataFrame, value: str, key: str = "building_id",
@@ -22,7 +22,7 @@ def impute_median(df: DataFrame, value: str, key: str = "building_id",
     gm = median(df, value, [key], "_gmed", method)
     filled = (df.join(gm, [key], "left")
               .withColumn(value, F.coalesce(F.col(value), F.col("_gmed"))).drop("_gmed"))
-    glob = median(filled, value, [], "_all", method).select("_all").scalar()
+    glob = row_literals(median(filled, value, [], "_all", method))["_all"]
     return filled.withColumn(value, F.coalesce(F.col(value), glob))
 
 
@@ -30,7 +30,7 @@ def fill_mean(df: DataFrame, cols: Sequence[str], stats_from: DataFrame | None =
     """NULL -> column mean, the means taken in one pass over ``stats_from``
     (defaults to ``df``; pass the training rows to fit on train only)."""
     src = stats_from if stats_from is not None else df
-    means = one_row(src.select(*[F.avg(c).alias(c) for c in cols]))
+    means = row_literals(src.select(*[F.avg(c).alias(c) for c in cols]))
     return df.withColumns({c: F.coalesce(F.col(c), means[c]) for c in cols})
 
 
@@ -71,12 +71,12 @@ def cap_outliers(df: DataFrame, cols: Sequence[str], method: str = "iqr", factor
     if method not in ("iqr", "zscore"):
         raise ValueError(f"unknown outlier method {method!r}")
     parts, moments = outlier_bounds(df, cols, factor, quantile_method)
-    mom = one_row(moments)
+    mom = row_literals(moments)
     new = {}
     flags = {}
     for c, q in zip(cols, parts):
         x = F.col(c)
-        qs = one_row(q)
+        qs = row_literals(q)
         q05, q25 = qs[f"{c}__q05"], qs[f"{c}__q25"]
         q75, q95 = qs[f"{c}__q75"], qs[f"{c}__q95"]
         flag = F.coalesce(outlier_flag(x, method, factor, q25, q75,
@@ -96,7 +96,7 @@ def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
     src = fit_on if fit_on is not None else df
     stats = src.select(*[x for c in cols for x in (F.avg(c).alias(f"{c}__m"),
                                                   F.stddev_pop(c).alias(f"{c}__s"))])
-    st = one_row(stats)
+    st = row_literals(stats)
     out = {}
     for c in cols:
         m, s = st[f"{c}__m"], st[f"{c}__s"]

@@ -4,12 +4,13 @@ Lags and rolling windows count rows, not hours (use the hourly spine
 first for calendar semantics). A rolling statistic is NULL until its
 window holds ``size`` non-null values, like pandas ``rolling(size)``.
 
-Skew: rows are numbered within their entity by ``with_positions`` (no
-single-entity task), cut into blocks of ``block_rows`` consecutive rows,
-and the last ``reach`` rows of each block are copied into the next block
-as read-only history. The window then runs per (entity, block), so the
-largest window partition is ``block_rows + reach`` rows whatever the
-size of one entity's series.
+Skew: entities up to the group limit (``ordering.GROUP_LIMIT``) use a
+plain window per entity (one shuffle). Rows of larger entities are
+numbered by ``range_positions`` (no single-entity task), cut into blocks
+of ``block_rows`` consecutive rows, and the last ``reach`` rows of each
+block are copied into the next block as read-only history. The window
+then runs per (entity, block), so the largest window partition is
+``block_rows + reach`` rows whatever the size of one entity's series.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattlane.operators.ordering import with_positions
+from wattlane.operators.ordering import _union, range_positions, split_hot, with_positions
 
 DEFAULT_BLOCK_ROWS = 1 << 20
 
@@ -30,7 +31,8 @@ def _rolling_ok(c: Column, w, size: int) -> Column:
 
 def lag_rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                 lags: Sequence[int] = (1, 24), size: int = 24, prefix: str | None = None,
-                ratio: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                ratio: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
+                limit: int | None = None) -> DataFrame:
     """Add ``{prefix}_lag_{k}``, ``{prefix}_rolling_mean_{size}``,
     ``{prefix}_rolling_std_{size}`` (sample std) and optionally
     ``{prefix}_ratio_mean`` = value / rolling mean (NULL on 0 or NULL)."""
@@ -39,37 +41,49 @@ def lag_rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     reach = max(max(lags, default=0), size - 1)
     if block_rows <= reach:
         raise ValueError("block_rows must exceed the window reach")
-    p = with_positions(df, keys, order, "_pos")
-    blk = F.floor(F.col("_pos") / F.lit(block_rows))
-    targets = F.when(F.col("_pos") % F.lit(block_rows) >= F.lit(block_rows - reach),
-                     F.array(blk, blk + 1)).otherwise(F.array(blk))
-    p = p.withColumn("_blk", F.explode(targets)).withColumn("_home", blk == F.col("_blk"))
-    w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
-    wr = w.rowsBetween(-(size - 1), 0)
     v = F.col(value)
-    cols = {f"{prefix}_lag_{k}": F.lag(v, k).over(w) for k in lags}
-    ok = _rolling_ok(v, wr, size)
-    mean = F.when(ok, F.avg(v).over(wr))
-    cols[f"{prefix}_rolling_mean_{size}"] = mean
-    cols[f"{prefix}_rolling_std_{size}"] = F.when(ok, F.stddev_samp(v).over(wr))
-    out = p.withColumns(cols)
+
+    def features(w) -> dict:
+        wr = w.rowsBetween(-(size - 1), 0)
+        cols = {f"{prefix}_lag_{k}": F.lag(v, k).over(w) for k in lags}
+        ok = _rolling_ok(v, wr, size)
+        cols[f"{prefix}_rolling_mean_{size}"] = F.when(ok, F.avg(v).over(wr))
+        cols[f"{prefix}_rolling_std_{size}"] = F.when(ok, F.stddev_samp(v).over(wr))
+        return cols
+
+    cold, hot = split_hot(df, keys, limit)
+    parts = []
+    if cold is not None:
+        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
+        parts.append(cold.withColumns(features(w)))
+    if hot is not None:
+        p = range_positions(hot, keys, order, "_pos")
+        blk = F.floor(F.col("_pos") / F.lit(block_rows))
+        targets = F.when(F.col("_pos") % F.lit(block_rows) >= F.lit(block_rows - reach),
+                         F.array(blk, blk + 1)).otherwise(F.array(blk))
+        p = p.withColumn("_blk", F.explode(targets)).withColumn("_home", blk == F.col("_blk"))
+        w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
+        parts.append(p.withColumns(features(w)).where("_home").drop("_pos", "_blk", "_home"))
+    out = _union(parts)
     if ratio:
         out = out.withColumn(f"{prefix}_ratio_mean",
                              F.try_divide(v, F.col(f"{prefix}_rolling_mean_{size}")))
-    return out.where("_home").drop("_pos", "_blk", "_home")
+    return out
 
 
-def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Surrogate id 0..n-1 in ``order`` (which should be total), computed
-    from per-partition offsets rather than a single-partition window."""
-    return with_positions(df, [], order, name)
+def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id",
+            limit: int | None = None) -> DataFrame:
+    """Surrogate id 0..n-1 in ``order`` (which should be total). Above the
+    group limit it comes from per-partition offsets, never from a
+    single-partition window."""
+    return with_positions(df, [], order, name, limit=limit)
 
 
 def chronological_split(df: DataFrame, order: Sequence[str], test_size: float = 0.2,
-                        name: str = "is_test") -> DataFrame:
+                        name: str = "is_test", limit: int | None = None) -> DataFrame:
     """First ``int(n * (1 - test_size))`` rows in ``order`` are train, the rest
-    test. ``n`` is a scalar subquery; no row leaves the executors."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    cutoff = F.floor(n * F.lit(1.0 - test_size))
-    p = with_positions(df, [], order, "_pos")
+    test. Only the count reaches the driver."""
+    n = df.count()
+    cutoff = F.lit(int(n * (1.0 - test_size)))
+    p = with_positions(df, [], order, "_pos", limit=limit)
     return p.withColumn(name, (F.col("_pos") >= cutoff).cast("int")).drop("_pos")

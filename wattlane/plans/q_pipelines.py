@@ -20,8 +20,9 @@ q AS (SELECT quantile_cont(meter_reading, 0.05) AS q05, quantile_cont(meter_read
 o AS (SELECT w.*, CAST(coalesce(meter_reading < q25 - 1.5 * (q75 - q25) OR meter_reading > q75 + 1.5 * (q75 - q25), false)
                        AS INTEGER) AS flag, q05, q95 FROM w, q)
 SELECT building_id, hour, count(*) AS n_rows, CAST(sum(flag) AS BIGINT) AS outliers,
-       avg(CASE WHEN flag = 1 THEN CASE WHEN meter_reading > q95 THEN q95 ELSE q05 END ELSE meter_reading END) AS mean_capped_reading,
-       avg(rm) AS mean_rolling_mean_24
+       sum(CASE WHEN flag = 1 THEN CASE WHEN meter_reading > q95 THEN q95 ELSE q05 END ELSE meter_reading END)
+         AS sum_capped_reading,
+       CAST(sum(CAST(round(rm * 2400) AS BIGINT)) AS BIGINT) AS rolling_sum_cents, count(rm) AS full_windows
 FROM o GROUP BY 1, 2"""
 
 
