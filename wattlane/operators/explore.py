@@ -136,22 +136,41 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whis: float = 1
     return agg
 
 
-def _pair_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation on pairwise-complete rows; NULL when a side is
-    constant (no divide-by-zero under ANSI)."""
+def _pair_moments(x: Column, y: Column, tag: str) -> list[Column]:
+    """Sums over the rows where both x and y are present (pairwise-complete)."""
     xp = F.when(y.isNotNull(), x)
     yp = F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(xp, yp), F.stddev_pop(xp) * F.stddev_pop(yp))
+    return [F.count(xp + yp).alias(f"n{tag}"), F.sum(xp).alias(f"sx{tag}"), F.sum(yp).alias(f"sy{tag}"),
+            F.sum(xp * xp).alias(f"sxx{tag}"), F.sum(yp * yp).alias(f"syy{tag}"),
+            F.sum(xp * yp).alias(f"sxy{tag}")]
+
+
+def _corr_from_moments(tag: str) -> Column:
+    n = F.col(f"n{tag}").cast("double")
+    mx, my = F.col(f"sx{tag}") / n, F.col(f"sy{tag}") / n
+    cov = F.col(f"sxy{tag}") / n - mx * my
+    vx = F.col(f"sxx{tag}") / n - mx * mx
+    vy = F.col(f"syy{tag}") / n - my * my
+    # a constant side (variance zero up to rounding) has no correlation
+    tiny_x = vx <= F.lit(1e-12) * (F.col(f"sxx{tag}") / n)
+    tiny_y = vy <= F.lit(1e-12) * (F.col(f"syy{tag}") / n)
+    r = F.try_divide(cov, F.sqrt(vx * vy))
+    return (F.when((n == 0) | tiny_x | tiny_y, F.lit(None).cast("double"))
+            .otherwise(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], lower_only: bool = False) -> DataFrame:
-    """Long-form matrix (i, j, col_i, col_j, corr): every pair in ONE
-    aggregate pass, then ``stack``. The diagonal is 1.0 unless the column
-    is constant (NULL). ``lower_only`` keeps i > j (the masked heatmap)."""
+    """Long-form Pearson matrix (i, j, col_i, col_j, corr) on pairwise-complete
+    rows: the six sums of every pair in ONE aggregate pass (plain sums keep
+    the aggregate in codegen), then ``stack``. A constant side gives NULL,
+    never a divide-by-zero. ``lower_only`` keeps i > j (the masked heatmap)."""
     cols = list(cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if i >= j]
-    wide = df.select(*[_pair_corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"))
-                       .alias(f"p{i}_{j}") for i, j in pairs])
+    aggs = []
+    for i, j in pairs:
+        aggs += _pair_moments(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"), f"{i}_{j}")
+    moments = df.select(*aggs)
+    wide = moments.select(*[_corr_from_moments(f"{i}_{j}").alias(f"p{i}_{j}") for i, j in pairs])
     entries = []
     for i, j in pairs:
         entries.append(f"{i}, {j}, '{cols[i]}', '{cols[j]}', p{i}_{j}")

@@ -178,6 +178,34 @@ def _ranked_quantiles(d: DataFrame, keys: list[str], probs: Sequence[float],
         F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                     extra: Sequence[Column] = (), limit: int | None = None) -> dict:
+    """Whole-table quantiles of several columns (``{col}__q{pp}``) plus any
+    ``extra`` one-row aggregates, as literals. When the table is within the
+    group limit everything is ONE aggregate pass (``percentile`` with an
+    array of probabilities per column); above it each column takes the
+    ranked path, which never holds a column in one task."""
+    limit = GROUP_LIMIT if limit is None else limit
+    names = {p: f"q{int(round(p * 100)):02d}" for p in probs}
+    n = df.count()
+    if n <= limit:
+        aggs = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"_{c}") for c in cols]
+        row = df.select(*aggs, *extra).first()
+        out = {}
+        for c in cols:
+            vals = row[f"_{c}"] or [None] * len(probs)
+            for p, v in zip(probs, vals):
+                out[f"{c}__{names[p]}"] = F.lit(v).cast("double")
+        for e in df.select(*extra).schema.fields if extra else []:
+            out[e.name] = F.lit(row[e.name]).cast(e.dataType)
+        return out
+    out = row_literals(df.select(*extra)) if extra else {}
+    for c in cols:
+        q = quantiles(df, c, probs, [], [f"{c}__{names[p]}" for p in probs], limit=0)
+        out.update(row_literals(q))
+    return out
+
+
 def median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median",
            method: str = "exact") -> DataFrame:
     return quantiles(df, value, [0.5], keys, [name], method)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.operators.ordering import median, quantiles, row_literals
+from wattlane.operators.ordering import column_quantiles, median, quantiles, row_literals
 
 
 def impute_median(df: DataFrame, value: str, key: str = "building_id",
@@ -70,13 +70,19 @@ def cap_outliers(df: DataFrame, cols: Sequence[str], method: str = "iqr", factor
     """
     if method not in ("iqr", "zscore"):
         raise ValueError(f"unknown outlier method {method!r}")
-    parts, moments = outlier_bounds(df, cols, factor, quantile_method)
-    mom = row_literals(moments)
+    moments = [x for c in cols for x in (F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"))]
+    if quantile_method == "exact":
+        st = column_quantiles(df, cols, [0.05, 0.25, 0.75, 0.95], moments)
+    else:
+        parts, mom_df = outlier_bounds(df, cols, factor, quantile_method)
+        st = row_literals(mom_df)
+        for q in parts:
+            st.update(row_literals(q))
+    mom = qs = st
     new = {}
     flags = {}
-    for c, q in zip(cols, parts):
+    for c in cols:
         x = F.col(c)
-        qs = row_literals(q)
         q05, q25 = qs[f"{c}__q05"], qs[f"{c}__q25"]
         q75, q95 = qs[f"{c}__q75"], qs[f"{c}__q95"]
         flag = F.coalesce(outlier_flag(x, method, factor, q25, q75,

@@ -85,12 +85,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def readings_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings_hourly(spark: SparkSession, sf_dir: str, stage: bool = True) -> DataFrame:
     """Every building x every hour between the global first and last hour.
 
     Hours without a reading hold NULL. Readings are pre-aggregated to
     (building, hour) before the join, so a hot building only weighs one
-    hour's rows per join key.
+    hour's rows per join key. ``stage=True`` writes the result once to the
+    shared scratch folder: the operators that use it make several passes.
     """
     from wattlane.functions.calendar import hourly_spine
 
@@ -98,7 +99,11 @@ def readings_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_hour = (r.groupBy("building_id", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp"))
                 .agg(F.sum("meter_reading").alias("meter_reading")))
     spine = hourly_spine(r, ["building_id"], "timestamp")
-    return spine.join(per_hour, ["building_id", "timestamp"], "left")
+    out = spine.join(per_hour, ["building_id", "timestamp"], "left")
+    if stage:
+        from wattlane.session import materialize
+        out = materialize(out, "readings-hourly")
+    return out
 
 
 # --------------------------------------------------------------------------
