@@ -152,11 +152,13 @@ def a35(spark, sf_dir):
 
 
 @register("L9_best_model_pick", METRICS + """
-SELECT arg_max(model, accuracy) AS best_model, max(accuracy) AS best_accuracy
+SELECT arg_max(model, struct_pack(a := accuracy, m := model)) AS best_model, max(accuracy) AS best_accuracy
 FROM metrics WHERE model IN ('threshold_p95', 'abs_zscore')""")
 def l9(spark, sf_dir):
     m = _metrics(spark, sf_dir).where(F.col("model").isin("threshold_p95", "abs_zscore"))
-    return m.select(F.max_by("model", "accuracy").alias("best_model"), F.max("accuracy").alias("best_accuracy"))
+    # ties on accuracy go to the larger model name, the same rule in both engines
+    return m.select(F.max_by("model", F.struct("accuracy", "model")).alias("best_model"),
+                    F.max("accuracy").alias("best_accuracy"))
 
 
 @register("M11_evaluate_detector", METRICS + "SELECT * FROM metrics")
