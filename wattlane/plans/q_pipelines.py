@@ -30,3 +30,356 @@ FROM o GROUP BY 1, 2"""
 def c0(spark, sf_dir):
     """The minimum end-to-end slice (also ``entry``)."""
     return flagship(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------
+from wattlane.functions import calendar as C  # noqa: E402
+from wattlane.operators import explore as X  # noqa: E402
+from wattlane.plans.catalog import SH, TWO_PI, cal_sql  # noqa: E402
+from wattlane.plans.pipelines import (additional_features, preprocess_dashboard,  # noqa: E402
+                                      preprocess_script)
+from wattlane.plans.q_relational import HOURLY, _W5_SQL, _season_sql  # noqa: E402
+from wattlane.sources import tables as T  # noqa: E402
+
+PI2 = repr(TWO_PI)
+
+_C2_SQL = R + f"""
+, cal AS (SELECT *, {cal_sql(minute=True, day_cycle=False)} FROM readings),
+g AS (SELECT * REPLACE (coalesce(meter_reading, median(meter_reading) OVER (PARTITION BY building_id)) AS meter_reading) FROM cal),
+f AS (SELECT * REPLACE (coalesce(meter_reading, (SELECT median(meter_reading) FROM g)) AS meter_reading) FROM g),
+s AS (SELECT building_id, avg(meter_reading) AS building_mean, stddev_samp(meter_reading) AS building_std,
+             min(meter_reading) AS building_min, max(meter_reading) AS building_max,
+             median(meter_reading) AS building_median FROM f GROUP BY 1),
+c2 AS (SELECT f.*, s.* EXCLUDE (building_id),
+       CASE WHEN s.building_mean = 0 AND f.meter_reading <> 0
+            THEN CASE WHEN f.meter_reading > 0 THEN CAST('inf' AS DOUBLE) ELSE CAST('-inf' AS DOUBLE) END
+            ELSE coalesce(f.meter_reading / nullif(s.building_mean, 0), 1.0) END AS consumption_ratio
+       FROM f LEFT JOIN s USING (building_id))
+"""
+
+
+@register("C1_load_and_explore", HOURLY + """
+SELECT 'readings' AS table_name, 5 AS n_columns, (SELECT count(*) FROM events) AS n_rows, CAST(0 AS BIGINT) AS null_cells
+UNION ALL
+SELECT 'readings_hourly', 3, count(*), CAST(count(*) * 3 - count(building_id) - count("timestamp") - count(meter_reading) AS BIGINT)
+FROM readings_hourly""")
+def c1(spark, sf_dir):
+    """Required sources loaded; shape and null cells of the panel and of
+    its hourly (gap-filled) form."""
+    out = None
+    for name, df in (("readings", T.readings(spark, sf_dir)), ("readings_hourly", T.readings_hourly(spark, sf_dir))):
+        nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+        row = df.select(F.lit(name).alias("table_name"), F.lit(len(df.columns)).alias("n_columns"),
+                        F.count(F.lit(1)).alias("n_rows"), nulls.cast("long").alias("null_cells"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("C2_preprocess_script", _C2_SQL + "SELECT * FROM c2")
+def c2(spark, sf_dir):
+    """Calendar incl. minute, month/hour cycles, median imputation,
+    per-building stats joined back, consumption ratio."""
+    return preprocess_script(T.readings(spark, sf_dir))
+
+
+@register("C3_preprocess_dashboard", HOURLY + f"""
+, cal AS (SELECT *, {cal_sql(minute=False, day_cycle=True)} FROM readings_hourly),
+g AS (SELECT * REPLACE (coalesce(meter_reading, median(meter_reading) OVER (PARTITION BY building_id)) AS meter_reading) FROM cal)
+SELECT * REPLACE (coalesce(meter_reading, (SELECT median(meter_reading) FROM g)) AS meter_reading) FROM g""")
+def c3(spark, sf_dir):
+    """Dashboard variant on the gap-filled hourly panel (91 % NULL readings)."""
+    return preprocess_dashboard(T.readings_hourly(spark, sf_dir))
+
+
+@register("C4_preprocess_matrix_scaled")
+def c4(spark, sf_dir):
+    """Single-series matrix: expected-load series as consumption, baseline
+    temperature / humidity, calendar, cycles, season one-hot; all scaled by
+    population std. Returns key columns plus the scaled features."""
+    from wattlane.functions.scalar import one_hot
+    from wattlane.operators import load as LD
+    from wattlane.operators.quality import standardize
+    s = LD.expected_series_load(T.shipments(spark, sf_dir))
+    t = F.col("timestamp")
+    hs, hc = C.cyclic(F.hour(t), 24)
+    ds, dc = C.cyclic(F.weekday(t), 7)
+    s = s.withColumns({"energy_consumption": F.col("value"), "hour": F.hour(t), "day_of_week": F.weekday(t),
+                       "is_weekend": C.is_weekend(t), "hour_sin": hs, "hour_cos": hc, "day_sin": ds, "day_cos": dc})
+    s = s.withColumns(one_hot("season", sorted(C.SEASONS_FR), "season"))
+    feats = ["energy_consumption", "temperature", "humidity", "hour", "day_of_week", "is_weekend", "hour_sin",
+             "hour_cos", "day_sin", "day_cos"] + [f"season_{v}" for v in sorted(C.SEASONS_FR)]
+    return standardize(s, feats).select("l_orderkey", "l_linenumber", *feats)
+
+
+_C5_SQL = R + f"""
+, w AS (SELECT *, CAST(hour("timestamp") AS INTEGER) AS hour, CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
+               CAST(month("timestamp") AS INTEGER) AS month, CAST(isodow("timestamp") - 1 >= 5 AS INTEGER) AS is_weekend,
+               sin({PI2} * hour("timestamp") / 24.0) AS hour_sin, cos({PI2} * hour("timestamp") / 24.0) AS hour_cos,
+               sin({PI2} * (isodow("timestamp") - 1) / 7.0) AS day_sin, cos({PI2} * (isodow("timestamp") - 1) / 7.0) AS day_cos,
+  lag(meter_reading, 1) OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id) AS meter_reading_lag_1,
+  lag(meter_reading, 24) OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id) AS meter_reading_lag_24,
+  CASE WHEN count(meter_reading) OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id
+                                       ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
+       THEN avg(meter_reading) OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id
+                                     ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END AS meter_reading_rolling_mean_24,
+  CASE WHEN count(meter_reading) OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id
+                                       ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24
+       THEN stddev_samp(meter_reading) OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id
+                                             ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END AS meter_reading_rolling_std_24
+  FROM readings)
+"""
+
+
+@register("C5_additional_features", _C5_SQL + "SELECT * FROM w")
+def c5(spark, sf_dir):
+    return additional_features(T.readings(spark, sf_dir))
+
+
+@register("C6_time_features", _W5_SQL + """
+SELECT l_orderkey, l_linenumber, minute_sin, minute_cos, energy_lag_1, energy_lag_24, energy_rolling_mean_24,
+       energy_rolling_std_24, value / nullif(energy_rolling_mean_24, 0) AS energy_ratio_mean FROM w""")
+def c6(spark, sf_dir):
+    from wattlane.plans.q_relational import _single_series
+    return _single_series(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "minute_sin", "minute_cos", "energy_lag_1", "energy_lag_24",
+        "energy_rolling_mean_24", "energy_rolling_std_24", "energy_ratio_mean")
+
+
+@register("C7_eda_hourly_anomaly_rate", _C2_SQL + "SELECT hour, avg(anomaly) AS anomaly_rate, avg(meter_reading) AS mean FROM c2 GROUP BY 1")
+def c7(spark, sf_dir):
+    """EDA on the preprocessed table: anomaly rate and mean per hour."""
+    f = preprocess_script(T.readings(spark, sf_dir))
+    return f.groupBy("hour").agg(F.avg("anomaly").alias("anomaly_rate"), F.avg("meter_reading").alias("mean"))
+
+
+@register("C7_eda_box_by_label", _C2_SQL + """
+, q AS (SELECT anomaly, quantile_cont(meter_reading, 0.25) AS q1, quantile_cont(meter_reading, 0.5) AS median,
+               quantile_cont(meter_reading, 0.75) AS q3 FROM c2 WHERE meter_reading IS NOT NULL GROUP BY 1)
+SELECT r.anomaly, q.q1, q.median, q.q3,
+       min(CASE WHEN meter_reading >= q1 - 1.5 * (q3 - q1) THEN meter_reading END) AS whisker_lo,
+       max(CASE WHEN meter_reading <= q3 + 1.5 * (q3 - q1) THEN meter_reading END) AS whisker_hi,
+       count(*) FILTER (WHERE meter_reading < q1 - 1.5 * (q3 - q1) OR meter_reading > q3 + 1.5 * (q3 - q1)) AS outliers,
+       count(*) AS n
+FROM c2 r JOIN q USING (anomaly) WHERE meter_reading IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def c7b(spark, sf_dir):
+    return X.box_stats(preprocess_script(T.readings(spark, sf_dir)), "meter_reading", ["anomaly"])
+
+
+@register("C10_data_section_summary", R + """
+SELECT count(*) AS total_records, 5 AS features, count(DISTINCT building_id) AS buildings,
+       CAST(sum(anomaly) AS BIGINT) AS anomalies, avg(anomaly) * 100 AS anomaly_rate,
+       CAST(floor(count(*) / nullif(count(DISTINCT building_id), 0)) AS BIGINT) AS obs_per_building,
+       strftime(CAST(min("timestamp") AS DATE), '%Y-%m-%d') || ' to ' || strftime(CAST(max("timestamp") AS DATE), '%Y-%m-%d') AS time_span
+FROM readings""")
+def c10(spark, sf_dir):
+    r = T.readings(spark, sf_dir)
+    return r.select(
+        F.count(F.lit(1)).alias("total_records"), F.lit(len(r.columns)).alias("features"),
+        F.count_distinct("building_id").alias("buildings"), F.sum("anomaly").cast("long").alias("anomalies"),
+        (F.avg("anomaly") * 100).alias("anomaly_rate"),
+        F.floor(F.try_divide(F.count(F.lit(1)), F.count_distinct("building_id"))).cast("long").alias("obs_per_building"),
+        F.concat(F.date_format(F.min("timestamp"), "yyyy-MM-dd"), F.lit(" to "),
+                 F.date_format(F.max("timestamp"), "yyyy-MM-dd")).alias("time_span"))
+
+
+@register("C11_preprocessing_section_nulls", HOURLY + f"""
+, cal AS (SELECT *, {cal_sql(minute=False, day_cycle=True)} FROM readings_hourly)
+SELECT 0 AS ordinal, 'building_id' AS column_name, count(*) - count(building_id) AS null_count FROM cal
+UNION ALL SELECT 1, 'timestamp', count(*) - count("timestamp") FROM cal
+UNION ALL SELECT 2, 'meter_reading', count(*) - count(meter_reading) FROM cal
+UNION ALL SELECT 3, 'year', count(*) - count(year) FROM cal
+UNION ALL SELECT 4, 'month', count(*) - count(month) FROM cal
+UNION ALL SELECT 5, 'day', count(*) - count(day) FROM cal
+UNION ALL SELECT 6, 'hour', count(*) - count(hour) FROM cal
+UNION ALL SELECT 7, 'dayofweek', count(*) - count(dayofweek) FROM cal
+UNION ALL SELECT 8, 'is_weekend', count(*) - count(is_weekend) FROM cal
+UNION ALL SELECT 9, 'month_sin', count(*) - count(month_sin) FROM cal""")
+def c11(spark, sf_dir):
+    """Nulls of the first ten columns of the hourly panel with calendar
+    features, before imputation (schema order, not sorted)."""
+    f = C.add_calendar(T.readings_hourly(spark, sf_dir), minute=False, day_cycle=True)
+    return X.null_counts(f).where(F.col("ordinal") < 10)
+
+
+@register("C12_eda_section_summary", R + """
+SELECT avg(meter_reading) AS mean, stddev_samp(meter_reading) AS std, median(meter_reading) AS median,
+       avg(anomaly) BETWEEN 0.01 AND 0.15 AS balanced,
+       CAST(floor((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 86400000000) AS BIGINT) AS span_days
+FROM readings""")
+def c12(spark, sf_dir):
+    r = T.readings(spark, sf_dir)
+    from wattlane.operators.ordering import quantiles
+    med = quantiles(r, "meter_reading", [0.5], [], ["median"]).first()["median"]
+    return r.select(F.avg("meter_reading").alias("mean"), F.stddev_samp("meter_reading").alias("std"),
+                    F.lit(med).cast("double").alias("median"), F.avg("anomaly").between(0.01, 0.15).alias("balanced"),
+                    X.span_days(F.min("timestamp"), F.max("timestamp")).alias("span_days"))
+
+
+@register("C16_consumption_overview_normals", R + """
+, d AS (SELECT CAST(i AS INTEGER) AS dow FROM range(7) t(i)),
+m AS (SELECT CAST(isodow("timestamp") - 1 AS INTEGER) AS dow, avg(meter_reading) AS mean FROM readings WHERE anomaly = 0 GROUP BY 1)
+SELECT d.dow, ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][d.dow + 1] AS day_name,
+       left(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][d.dow + 1], 3) AS day_abbr, m.mean
+FROM d LEFT JOIN m USING (dow)""")
+def c16(spark, sf_dir):
+    """Consumption of normal rows by day name, Monday first."""
+    return X.weekday_means(T.readings(spark, sf_dir).where("anomaly = 0"), "meter_reading")
+
+
+@register("C18_seasonal_analysis", f"""
+WITH s AS (SELECT {_season_sql('month(l_shipdate)', C.SEASONS_EN)} AS season, l_extendedprice AS value,
+                  CAST(l_returnflag = 'R' AS INTEGER) AS anomaly FROM lineitem)
+SELECT season, avg(value) AS mean, stddev_samp(value) AS std, median(value) AS median,
+       CAST(sum(anomaly) AS BIGINT) AS anomalies, count(*) AS n, avg(anomaly) * 100 AS anomaly_rate_pct
+FROM s GROUP BY 1""")
+def c18(spark, sf_dir):
+    """Seasonal mean / std / median with returned lines as anomalies."""
+    from wattlane.operators.ordering import quantiles
+    li = T.table(spark, sf_dir, "lineitem").select(
+        C.season(F.month("l_shipdate")).alias("season"), F.col("l_extendedprice").alias("value"),
+        (F.col("l_returnflag") == "R").cast("int").alias("anomaly"))
+    g = li.groupBy("season").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                 F.sum("anomaly").cast("long").alias("anomalies"), F.count(F.lit(1)).alias("n"),
+                                 (F.avg("anomaly") * 100).alias("anomaly_rate_pct"))
+    return g.join(quantiles(li, "value", [0.5], ["season"], ["median"]), "season", "left")
+
+
+@register("C19_anomaly_timeline", _C2_SQL + """
+SELECT CAST("timestamp" AS DATE) AS date, count(*) AS anomalies FROM c2 WHERE anomaly = 1 GROUP BY 1""")
+def c19(spark, sf_dir):
+    return X.daily_counts(preprocess_script(T.readings(spark, sf_dir)))
+
+
+def _corr_sql_over(prefix_sql: str, src: str, cols: list[str], lower_only: bool = True) -> str:
+    parts = []
+    for i in range(len(cols)):
+        for j in range(len(cols)):
+            if lower_only and not i > j:
+                continue
+            x, y = f"CAST({cols[i]} AS DOUBLE)", f"CAST({cols[j]} AS DOUBLE)"
+            parts.append(f"SELECT {i} AS i, {j} AS j, '{cols[i]}' AS col_i, '{cols[j]}' AS col_j, "
+                         f"CASE WHEN isnan(corr({x}, {y})) THEN NULL ELSE corr({x}, {y}) END AS corr FROM {src}")
+    return prefix_sql + "\nUNION ALL ".join(parts)
+
+
+_C17_COLS = ["meter_reading", "month", "hour", "minute", "dayofweek", "is_weekend", "hour_sin", "hour_cos",
+             "consumption_ratio"]
+
+
+@register("C17_correlation_heatmap", _corr_sql_over(_C2_SQL, "c2", _C17_COLS))
+def c17(spark, sf_dir):
+    """Masked (strict lower triangle) correlation of the preprocessed
+    numeric columns; the constant month gives NULL."""
+    f = preprocess_script(T.readings(spark, sf_dir))
+    return X.correlation_matrix(f, _C17_COLS, lower_only=True)
+
+
+@register("C8_train_detection_models")
+def c8(spark, sf_dir):
+    """Random forest on the stratified split (mean fill) and an isolation
+    forest on the standardised training rows; validation metrics."""
+    from wattlane.operators.detect import forest as RF
+    from wattlane.operators.detect.isolation import fit_isolation_forest
+    from wattlane.operators.evaluate import evaluate
+    from wattlane.operators.quality import standardize
+    from wattlane.plans.pipelines import supervised_frame
+    f, feats = supervised_frame(spark, sf_dir, "mean")
+    train, val = f.where("is_validation = 0"), f.where("is_validation = 1")
+    rf = RF.fit_random_forest(train, feats, "anomaly")
+    m_rf = evaluate(RF.predict_forest(rf, val), "random_forest", "anomaly")
+    z_train, z_val = standardize(train, feats, fit_on=train), standardize(val, feats, fit_on=train)
+    iso = fit_isolation_forest(z_train, feats, "reading_id", 100, 256, 0.1)
+    m_iso = evaluate(iso.transform(z_val), "isolation_forest", "anomaly")
+    return m_rf.unionByName(m_iso)
+
+
+@register("C9_pca_view")
+def c9(spark, sf_dir):
+    """PCA(2) of every numeric column, label and key included (as the
+    script does), with the explained-variance ratios attached."""
+    from wattlane.operators.detect.pca import pca_view
+    f = preprocess_script(T.readings(spark, sf_dir))
+    cols = [c for c in X.numeric_columns(f) if c not in ("year", "month", "minute")]
+    rows, var = pca_view(f, cols, 2, keep=["reading_id", "anomaly"])
+    ratios = {r.component: r.explained_ratio for r in var.collect()}
+    return rows.withColumns({"pc1_ratio": F.lit(ratios["pc1"]), "pc2_ratio": F.lit(ratios["pc2"])})
+
+
+@register("C13_modelling_section")
+def c13(spark, sf_dir):
+    """Dashboard modelling: NULL -> 0 features, forest without the depth-10
+    cap (Spark's maximum depth, 30), isolation forest; accuracy / AUC and
+    the top-10 importances in one table."""
+    from wattlane.operators.detect import forest as RF
+    from wattlane.operators.detect.isolation import fit_isolation_forest
+    from wattlane.operators.evaluate import evaluate
+    from wattlane.operators.quality import standardize
+    from wattlane.plans.pipelines import supervised_frame
+    f, feats = supervised_frame(spark, sf_dir, "zero")
+    train, val = f.where("is_validation = 0"), f.where("is_validation = 1")
+    rf = RF.fit_random_forest(train, feats, "anomaly", max_depth=30)
+    iso = fit_isolation_forest(standardize(train, feats, fit_on=train), feats, "reading_id", 100, 256, 0.1)
+    m = evaluate(RF.predict_forest(rf, val), "random_forest", "anomaly").unionByName(
+        evaluate(iso.transform(standardize(val, feats, fit_on=train)), "isolation_forest", "anomaly"))
+    best = m.select(F.max_by("model", F.struct("accuracy", "model")).alias("b")).first()["b"]
+    return m.withColumn("is_best", F.col("model") == F.lit(best))
+
+
+@register("C14_results_section")
+def c14(spark, sf_dir):
+    """Score the held-out rows as an unlabelled test table with the fitted
+    forest and isolation forest (scaler fitted on train): detected rates."""
+    from wattlane.operators.detect import forest as RF
+    from wattlane.operators.detect.isolation import fit_isolation_forest
+    from wattlane.operators.evaluate import detected_rate
+    from wattlane.operators.quality import standardize
+    from wattlane.plans.pipelines import supervised_frame
+    f, feats = supervised_frame(spark, sf_dir, "zero")
+    train, test = f.where("is_validation = 0"), f.where("is_validation = 1").drop("anomaly")
+    rf = RF.predict_forest(RF.fit_random_forest(train, feats, "anomaly"), test)
+    iso = fit_isolation_forest(standardize(train, feats, fit_on=train), feats, "reading_id", 100, 256, 0.1)
+    iso_s = iso.transform(standardize(test, feats, fit_on=train))
+    return (rf.select(F.lit("random_forest").alias("model"), detected_rate().alias("detected_pct"),
+                      F.count(F.lit(1)).alias("n_rows"))
+            .unionByName(iso_s.select(F.lit("isolation_forest").alias("model"), detected_rate().alias("detected_pct"),
+                                      F.count(F.lit(1)).alias("n_rows"))))
+
+
+@register("C15_detector_suite_summary")
+def c15(spark, sf_dir):
+    """Chronological split, all detectors trained on normals, text summary."""
+    from wattlane.operators.detect.scorer import train_all
+    from wattlane.operators.evaluate import results_summary
+    from wattlane.plans.pipelines import detector_frame
+    train_n, test, feats = detector_frame(spark, sf_dir)
+    metrics, _ = train_all(train_n, test, feats, "reading_id", "label")
+    return results_summary(metrics)
+
+
+@register("C20_model_comparison_roc")
+def c20(spark, sf_dir):
+    """ROC points of every detector (AUC present), stacked by model."""
+    from wattlane.operators.detect.scorer import train_all
+    from wattlane.operators.evaluate import roc_curve
+    from wattlane.plans.pipelines import detector_frame
+    train_n, test, feats = detector_frame(spark, sf_dir)
+    _, scored = train_all(train_n, test, feats, "reading_id", "label")
+    out = None
+    for name, s in scored.items():
+        r = roc_curve(s).withColumn("model", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("C21_detection_dashboard")
+def c21(spark, sf_dir):
+    """Score histogram (50 bins) per detector."""
+    from wattlane.operators.detect.scorer import train_all
+    from wattlane.plans.pipelines import detector_frame
+    train_n, test, feats = detector_frame(spark, sf_dir)
+    _, scored = train_all(train_n, test, feats, "reading_id", "label")
+    out = None
+    for name, s in scored.items():
+        h = X.histogram(s, "score", 50).withColumn("model", F.lit(name))
+        out = h if out is None else out.unionByName(h)
+    return out
