@@ -193,3 +193,45 @@ def s8(spark, sf_dir):
     a = RF.predict_forest(loaded["rf"], val).select(F.lit("random_forest").alias("model"), "reading_id", "prediction")
     b = iso2.transform(test).select(F.lit("isolation_forest").alias("model"), "reading_id", "prediction")
     return a.unionByName(b)
+
+
+_DIM = 64
+
+
+def _vec_frame(spark, sf_dir):
+    v = T.vectors(spark, sf_dir)
+    return v.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(_DIM)])
+
+
+def _dist_sql(a: str, b: str) -> str:
+    return f"sqrt(list_sum(list_transform(range(1, {_DIM + 1}), lambda i: ({a}.e[i] - {b}.e[i]) * ({a}.e[i] - {b}.e[i]))))"
+
+
+_LOF_SQL = f"""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+tr AS (SELECT * FROM v WHERE label <> 9),
+d_tr AS (SELECT a.vec_id AS q, b.vec_id AS r, {_dist_sql('a', 'b')} AS dist FROM tr a, tr b WHERE a.vec_id <> b.vec_id),
+nn_tr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, r) AS rk FROM d_tr) WHERE rk <= 20),
+kd AS (SELECT q AS id, dist AS kdist FROM nn_tr WHERE rk = 20),
+lrd AS (SELECT n.q AS id, 1.0 / (avg(greatest(n.dist, kd.kdist)) + 1e-10) AS lrd FROM nn_tr n JOIN kd ON n.r = kd.id GROUP BY 1),
+lof_tr AS (SELECT n.q, avg(l2.lrd) / any_value(l1.lrd) AS lof
+           FROM nn_tr n JOIN lrd l2 ON n.r = l2.id JOIN lrd l1 ON n.q = l1.id GROUP BY 1),
+thr AS (SELECT quantile_cont(lof, 0.9) AS t FROM lof_tr),
+d_te AS (SELECT a.vec_id AS q, b.vec_id AS r, {_dist_sql('a', 'b')} AS dist FROM v a, tr b),
+nn_te AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, r) AS rk FROM d_te) WHERE rk <= 20),
+s AS (SELECT n.q AS vec_id, avg(l.lrd) / (1.0 / (avg(greatest(n.dist, kd.kdist)) + 1e-10)) AS lof
+      FROM nn_te n JOIN kd ON n.r = kd.id JOIN lrd l ON n.r = l.id GROUP BY 1)
+SELECT vec_id, round(lof - t, 6) AS score, CAST(lof > t AS INTEGER) AS prediction FROM s, thr"""
+
+
+@register("M6_local_outlier_factor", _LOF_SQL)
+def m6(spark, sf_dir):
+    """LOF novelty detection (k = 20, contamination 0.1): trained on the
+    embeddings of clusters 0-8, every embedding scored as new data; exact
+    neighbours (ties by key). The SQL twin is the brute-force definition."""
+    from wattlane.operators.detect.lof import fit_lof
+    v = _vec_frame(spark, sf_dir)
+    feats = [f"e{i}" for i in range(_DIM)]
+    model = fit_lof(v.where(F.col("label") != 9), feats, "vec_id", k=20, contamination=0.1)
+    out = model.transform(v)
+    return out.select("vec_id", F.round("score", 6).alias("score"), "prediction")
