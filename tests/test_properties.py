@@ -40,10 +40,10 @@ def test_roc_curve_ends_at_one(spark):
 
 
 def test_detectors_on_planted_intervals(spark):
-    from wattlane.operators.detect.scorer import train_all
+    from wattlane.operators.detect.scorer import FAST, train_all
     from wattlane.plans.pipelines import detector_frame
     train_n, test, feats = detector_frame(spark, SF_MID)
-    metrics, scored = train_all(train_n, test, feats, "reading_id", "label")
+    metrics, scored = train_all(train_n, test, feats, "reading_id", "label", FAST)
     rows = {r.model: r for r in metrics.collect()}
     assert set(rows) == {"isolation_forest", "one_class_rff", "pca_reconstruction"}
     for r in rows.values():

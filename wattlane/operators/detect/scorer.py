@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 
 from wattlane.operators.detect.isolation import fit_isolation_forest
+from wattlane.operators.detect.lof import fit_lof
 from wattlane.operators.detect.oneclass import fit_one_class
 from wattlane.operators.detect.pca import fit_reconstruction
 from wattlane.operators.evaluate import evaluate
@@ -26,12 +27,20 @@ def _rec(train, features, key):
     return fit_reconstruction(train, features, k=3)
 
 
+def _lof(train, features, key):
+    return fit_lof(train, features, key, k=20, contamination=0.1)
+
+
 DETECTORS: dict[str, Callable] = {
     "isolation_forest": _iso,
+    "lof": _lof,
     "one_class_rff": _ocs,
     "pca_reconstruction": _rec,
 }
 
+# The three one-pass detectors; LOF's neighbour search is the slow member.
+FAST = ("isolation_forest", "one_class_rff", "pca_reconstruction")
+
 
 def score(model, df: DataFrame, key: str, label: str | None = "label") -> DataFrame:
     """key, [label,] score, prediction for any fitted detector."""

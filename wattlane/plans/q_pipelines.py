@@ -348,22 +348,22 @@ def c14(spark, sf_dir):
 @register("C15_detector_suite_summary")
 def c15(spark, sf_dir):
     """Chronological split, all detectors trained on normals, text summary."""
-    from wattlane.operators.detect.scorer import train_all
+    from wattlane.operators.detect.scorer import FAST, train_all
     from wattlane.operators.evaluate import results_summary
     from wattlane.plans.pipelines import detector_frame
     train_n, test, feats = detector_frame(spark, sf_dir)
-    metrics, _ = train_all(train_n, test, feats, "reading_id", "label")
+    metrics, _ = train_all(train_n, test, feats, "reading_id", "label", FAST)
     return results_summary(metrics)
 
 
 @register("C20_model_comparison_roc")
 def c20(spark, sf_dir):
     """ROC points of every detector (AUC present), stacked by model."""
-    from wattlane.operators.detect.scorer import train_all
+    from wattlane.operators.detect.scorer import FAST, train_all
     from wattlane.operators.evaluate import roc_curve
     from wattlane.plans.pipelines import detector_frame
     train_n, test, feats = detector_frame(spark, sf_dir)
-    _, scored = train_all(train_n, test, feats, "reading_id", "label")
+    _, scored = train_all(train_n, test, feats, "reading_id", "label", FAST)
     out = None
     for name, s in scored.items():
         r = roc_curve(s).withColumn("model", F.lit(name))
@@ -374,10 +374,10 @@ def c20(spark, sf_dir):
 @register("C21_detection_dashboard")
 def c21(spark, sf_dir):
     """Score histogram (50 bins) per detector."""
-    from wattlane.operators.detect.scorer import train_all
+    from wattlane.operators.detect.scorer import FAST, train_all
     from wattlane.plans.pipelines import detector_frame
     train_n, test, feats = detector_frame(spark, sf_dir)
-    _, scored = train_all(train_n, test, feats, "reading_id", "label")
+    _, scored = train_all(train_n, test, feats, "reading_id", "label", FAST)
     out = None
     for name, s in scored.items():
         h = X.histogram(s, "score", 50).withColumn("model", F.lit(name))
