@@ -235,3 +235,24 @@ def m6(spark, sf_dir):
     model = fit_lof(v.where(F.col("label") != 9), feats, "vec_id", k=20, contamination=0.1)
     out = model.transform(v)
     return out.select("vec_id", F.round("score", 6).alias("score"), "prediction")
+
+
+@register("S9_load_models_skip_absent")
+def s9(spark, sf_dir):
+    """Fit a scaler + PCA pipeline on the readings, save it, then load a set
+    of model paths of which one is absent: the absent one is skipped and
+    the loaded pipeline scores the readings."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from wattlane.sources.files import load_models, save_model
+    r = T.readings(spark, sf_dir).withColumns({"hour": F.hour("timestamp").cast("double"),
+                                               "dow": F.weekday("timestamp").cast("double")})
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["meter_reading", "hour", "dow"], outputCol="x"),
+                            StandardScaler(inputCol="x", outputCol="z", withMean=True),
+                            PCA(k=2, inputCol="z", outputCol="p")])
+    path = save_model(pipe.fit(r), scratch_path(spark, "scaler-pca"))
+    loaded = load_models(spark, {"scaler_pca": path, "absent": scratch_path(spark, "never-written")})
+    out = loaded["scaler_pca"].transform(r)
+    from pyspark.ml.functions import vector_to_array
+    return out.select("reading_id", F.lit(",".join(sorted(loaded))).alias("loaded"),
+                      vector_to_array("p")[0].alias("pc1"), vector_to_array("p")[1].alias("pc2"))
