@@ -102,6 +102,9 @@ def main(argv):
     sf_dir = "/root/testdata/sf0.01"
     only = set(argv[1:])
     spark = get_spark("local[8]", 8)
+    import os
+    if os.environ.get("WATTLANE_TEST_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["WATTLANE_TEST_TZ"])
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0

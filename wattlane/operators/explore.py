@@ -70,8 +70,10 @@ def dataset_summary(df: DataFrame, key: str = "building_id", label: str = "anoma
 
 
 def span_days(lo: Column, hi: Column) -> Column:
-    """Whole days between two timestamps (timedelta ``.days``: floor)."""
-    micros = F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))
+    """Whole days between two timestamps (timedelta ``.days``: floor).
+    ``timestamp_diff`` on zone-less timestamps ignores the session zone, so
+    a daylight-saving change cannot shift the span."""
+    micros = F.timestamp_diff("MICROSECOND", lo, hi)
     return F.floor(micros / F.lit(86_400_000_000)).cast("long")
 
 

@@ -32,6 +32,9 @@ from wattlane.session import materialize
 # group, which is bounded. Larger ("hot") groups take the range-partitioned
 # path. Override per call with ``limit=`` or globally with WATTLANE_GROUP_LIMIT.
 GROUP_LIMIT = int(os.environ.get("WATTLANE_GROUP_LIMIT", 2_000_000))
+# Without keys the one group is the whole table and the built-in plan runs
+# in a single task (no parallelism at all), so the switch comes earlier.
+KEYLESS_LIMIT = int(os.environ.get("WATTLANE_KEYLESS_LIMIT", 200_000))
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None):
@@ -39,8 +42,9 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None):
     side is None when empty. The group counts are one partial aggregate;
     the hot-key table (at most rows / limit keys) is written once and
     joined semi / anti (AQE broadcasts it when it is small)."""
-    limit = GROUP_LIMIT if limit is None else limit
     keys = list(keys)
+    if limit is None:
+        limit = GROUP_LIMIT if keys else KEYLESS_LIMIT
     if not keys:
         n = df.count()
         return (df, None) if n <= limit else (None, df)

@@ -18,10 +18,17 @@ from wattlane.operators.ordering import column_quantiles, median, quantiles, row
 def impute_median(df: DataFrame, value: str, key: str = "building_id",
                   method: str = "exact") -> DataFrame:
     """NULL -> median of the row's group; still NULL -> global median of the
-    already group-filled column (two passes, in that order)."""
+    already group-filled column (two passes, in that order).
+
+    The group-filled table is written once to the scratch folder: the
+    global median and every later pass read it instead of redoing the
+    group medians and the join."""
+    from wattlane.session import materialize
+
     gm = median(df, value, [key], "_gmed", method)
     filled = (df.join(gm, [key], "left")
               .withColumn(value, F.coalesce(F.col(value), F.col("_gmed"))).drop("_gmed"))
+    filled = materialize(filled, "group-filled")
     glob = row_literals(median(filled, value, [], "_all", method))["_all"]
     return filled.withColumn(value, F.coalesce(F.col(value), glob))
 

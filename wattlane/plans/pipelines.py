@@ -81,7 +81,8 @@ def flagship(spark, sf_dir: str) -> DataFrame:
 
     f = add_calendar(readings(spark, sf_dir), minute=False)
     f = impute_median(f, "meter_reading", "building_id")
-    f = lag_rolling(f, ["building_id"], ["timestamp", "reading_id"], "meter_reading", (1, 24), 24)
+    f = materialize(lag_rolling(f, ["building_id"], ["timestamp", "reading_id"], "meter_reading", (1, 24), 24),
+                    "flagship-features")
     f = cap_outliers(f, ["meter_reading"], "iqr", 1.5, flag_suffix="_outlier")
     return f.groupBy("building_id", "hour").agg(
         F.count(F.lit(1)).alias("n_rows"),
