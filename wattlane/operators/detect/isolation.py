@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField, StructType)
 
-from wattlane.operators.ordering import one_row, quantiles
+from wattlane.operators.ordering import quantiles
+from wattlane.session import ship_package
 
 EULER = 0.5772156649
 
@@ -103,6 +104,7 @@ class IsolationForestModel:
 
     def score_column(self, spark: SparkSession):
         """A pandas_udf: feature columns -> anomaly score in (0, 1)."""
+        ship_package(spark)
         bc = spark.sparkContext.broadcast(self._arrays())
         cn = c_factor(self.psi)
 
@@ -153,6 +155,7 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str, n_tre
                          seed: int = 42) -> IsolationForestModel:
     """Fit on ``df`` (no NULLs in ``features``; ``key`` unique)."""
     spark = df.sparkSession
+    ship_package(spark)
     n = df.count()
     psi = min(max_samples, n)
     rate = min(1.0, 3.0 * psi / max(n, 1))
