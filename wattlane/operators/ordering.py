@@ -100,6 +100,24 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return _union(parts)
 
 
+def _keyless_offsets(runs: DataFrame, sums: Sequence[str], names: dict, keep: Sequence[str]) -> DataFrame:
+    """Exclusive prefix sums over partition ids for a table with one row per
+    partition. It has at most ``spark.sql.shuffle.partitions`` rows (a
+    configured bound), so it is summed on the driver and comes back as a
+    small broadcast table -- no single-partition window over anything."""
+    spark = runs.sparkSession
+    rows = sorted(runs.select("_pid", *sums, *keep).collect(), key=lambda r: r["_pid"])
+    acc = {c: 0 for c in sums}
+    out = []
+    for r in rows:
+        out.append((r["_pid"], *[acc[c] for c in sums], *[r[k] for k in keep]))
+        for c in sums:
+            acc[c] += r[c] or 0
+    fields = ["_pid int"] + [f"{names[c]} {runs.schema[c].dataType.simpleString()}" for c in sums] + \
+             [f"{k} {runs.schema[k].dataType.simpleString()}" for k in keep]
+    return spark.createDataFrame(out, ", ".join(fields))
+
+
 def range_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                     pos_col: str = "pos", partitions: int | None = None) -> DataFrame:
     """Skew-safe numbering (see module doc); any group size."""
@@ -113,9 +131,12 @@ def range_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     s = materialize(s, "positions")
     runs = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"),
                                         F.min("_lid").alias("_first"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid")
-    runs = runs.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("_pid")
+        runs = runs.withColumn(
+            "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        runs = F.broadcast(_keyless_offsets(runs, ["_cnt"], {"_cnt": "_off"}, ["_first"]))
     runs = runs.select(F.col("_pid").alias("_rpid"), *[F.col(k).alias(f"_r_{k}") for k in keys],
                        "_off", "_first")
     cond = s["_pid"] == runs["_rpid"]
@@ -266,11 +287,15 @@ def _range_running(df: DataFrame, keys: list[str], order, cols, suffix, partitio
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = materialize(s.withColumns({f"_loc_{c}": F.sum(c).over(wl) for c in cols}), "running")
     runs = s.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
-    wk = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("_pid").alias("_rpid"), *[F.col(k).alias(f"_r_{k}") for k in keys],
-                       *[F.coalesce(F.sum(f"_tot_{c}").over(wk), F.lit(0)).alias(f"_off_{c}")
-                         for c in cols])
+    if keys:
+        wk = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        runs = runs.select(F.col("_pid").alias("_rpid"), *[F.col(k).alias(f"_r_{k}") for k in keys],
+                           *[F.coalesce(F.sum(f"_tot_{c}").over(wk), F.lit(0)).alias(f"_off_{c}")
+                             for c in cols])
+    else:
+        runs = F.broadcast(_keyless_offsets(runs, [f"_tot_{c}" for c in cols],
+                                            {f"_tot_{c}": f"_off_{c}" for c in cols}, [])
+                           .withColumnRenamed("_pid", "_rpid"))
     cond = s["_pid"] == runs["_rpid"]
     for k in keys:
         cond = cond & s[k].eqNullSafe(runs[f"_r_{k}"])

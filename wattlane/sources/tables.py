@@ -27,14 +27,20 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled panel: one row per reading of one building."""
+def readings(spark: SparkSession, sf_dir: str, nan_safe: bool = True) -> DataFrame:
+    """Labelled panel: one row per reading of one building.
+
+    ``nan_safe=True`` maps NaN readings to NULL. That CASE expression keeps
+    predicates on the reading itself from reaching the parquet scan (key
+    and time predicates still do); pass ``nan_safe=False`` for sources known
+    to hold no NaN so that value filters are pushed down too."""
     ev = table(spark, sf_dir, "events")
+    value = nan_to_null("value") if nan_safe else F.col("value")
     return ev.select(
         F.col("event_id").alias("reading_id"),
         F.col("user_id").alias("building_id"),
         F.col("ts").alias("timestamp"),
-        nan_to_null("value").alias("meter_reading"),
+        value.alias("meter_reading"),
         (F.col("value") > F.lit(ANOMALY_VALUE)).cast("int").alias("anomaly"),
     )
 
