@@ -34,7 +34,7 @@ from wattlane.session import materialize
 GROUP_LIMIT = int(os.environ.get("WATTLANE_GROUP_LIMIT", 2_000_000))
 # Without keys the one group is the whole table and the built-in plan runs
 # in a single task (no parallelism at all), so the switch comes earlier.
-KEYLESS_LIMIT = int(os.environ.get("WATTLANE_KEYLESS_LIMIT", 200_000))
+KEYLESS_LIMIT = int(os.environ.get("WATTLANE_KEYLESS_LIMIT", 1_000_000))
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None):
@@ -94,7 +94,7 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     parts = []
     if cold is not None:
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*ocols)
-        parts.append(cold.withColumn(pos_col, F.row_number().over(w) - 1))
+        parts.append(cold.withColumn(pos_col, (F.row_number().over(w) - 1).cast("long")))
     if hot is not None:
         parts.append(range_positions(hot, keys, order, pos_col, partitions))
     return _union(parts)
@@ -170,7 +170,9 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    cold, hot = split_hot(d, keys, limit)
+    # ``percentile`` combines map-side, so even without keys only its final
+    # merge is serial: the group limit applies, not the keyless one.
+    cold, hot = split_hot(d, keys, GROUP_LIMIT if limit is None else limit)
     parts = []
     if cold is not None:
         parts.append(cold.groupBy(*keys).agg(*[

@@ -807,7 +807,7 @@ def d5(spark, sf_dir):
                avg(hour("timestamp")) AS m2, stddev_pop(hour("timestamp")) AS s2 FROM readings)
 SELECT reading_id, (meter_reading - m1) / CASE WHEN s1 = 0 THEN 1.0 ELSE s1 END AS meter_reading_z,
        (hour("timestamp") - m2) / CASE WHEN s2 = 0 THEN 1.0 ELSE s2 END AS hour_z,
-       (building_id - building_id) * 1.0 AS const_z
+       CAST((7.0 - 7.0) / 1.0 AS DOUBLE) AS const_z
 FROM readings, s""")
 def d6(spark, sf_dir):
     """Population-std scaling; the constant column maps to 0."""
