@@ -55,3 +55,21 @@ def test_running_totals_hot(spark):
     hot = running_totals(r, ["building_id"], ["reading_id"], ["a"], limit=0)
     cold = running_totals(r, ["building_id"], ["reading_id"], ["a"])
     assert hot.select("reading_id", "a_cum").exceptAll(cold.select("reading_id", "a_cum")).count() == 0
+
+
+def test_mixed_hot_and_cold_groups(spark):
+    """With a limit between the smallest and largest group both paths run
+    in one call and the union equals the plain plans."""
+    r = T.readings(spark, SF_MID)
+    sizes = [x["count"] for x in r.groupBy("building_id").count().collect()]
+    limit = (min(sizes) + max(sizes)) // 2
+    hot = {x.building_id: x for x in quantiles(r, "meter_reading", [0.5], ["building_id"], limit=limit).collect()}
+    cold = {x.building_id: x for x in quantiles(r, "meter_reading", [0.5], ["building_id"]).collect()}
+    assert hot.keys() == cold.keys() and all(abs(hot[k][1] - cold[k][1]) < 1e-9 for k in hot)
+    args = (["building_id"], ["timestamp", "reading_id"], "meter_reading", (1, 24), 24)
+    a = lag_rolling(r, *args, block_rows=40, limit=limit).select("reading_id", "meter_reading_rolling_mean_24")
+    b = lag_rolling(r, *args).select("reading_id", "meter_reading_rolling_mean_24")
+    da = {x[0]: x[1] for x in a.collect()}
+    db = {x[0]: x[1] for x in b.collect()}
+    assert da.keys() == db.keys()
+    assert all((da[k] is None and db[k] is None) or abs(da[k] - db[k]) < 1e-9 for k in da)
