@@ -37,14 +37,19 @@ GROUP_LIMIT = int(os.environ.get("WATTLANE_GROUP_LIMIT", 2_000_000))
 KEYLESS_LIMIT = int(os.environ.get("WATTLANE_KEYLESS_LIMIT", 1_000_000))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None):
+def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None,
+              max_group: int | None = None):
     """(cold rows, hot rows): rows of groups above ``limit`` are hot. Either
     side is None when empty. The group counts are one partial aggregate;
     the hot-key table (at most rows / limit keys) is written once and
-    joined semi / anti (AQE broadcasts it when it is small)."""
+    joined semi / anti (AQE broadcasts it when it is small). A caller that
+    already knows the largest group size passes ``max_group`` and saves the
+    counting job when everything is bounded."""
     keys = list(keys)
     if limit is None:
         limit = GROUP_LIMIT if keys else KEYLESS_LIMIT
+    if max_group is not None and max_group <= limit:
+        return df, None
     if not keys:
         n = df.count()
         return (df, None) if n <= limit else (None, df)
@@ -149,7 +154,8 @@ def range_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
               names: Sequence[str] | None = None, method: str = "exact",
-              accuracy: int = 10000, limit: int | None = None) -> DataFrame:
+              accuracy: int = 10000, limit: int | None = None,
+              max_group: int | None = None) -> DataFrame:
     """Per-key quantiles with linear interpolation (pandas ``quantile``).
 
     ``method='exact'``: bounded groups use the ``percentile`` aggregate; hot
@@ -172,7 +178,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
 
     # ``percentile`` combines map-side, so even without keys only its final
     # merge is serial: the group limit applies, not the keyless one.
-    cold, hot = split_hot(d, keys, GROUP_LIMIT if limit is None else limit)
+    cold, hot = split_hot(d, keys, GROUP_LIMIT if limit is None else limit, max_group)
     parts = []
     if cold is not None:
         parts.append(cold.groupBy(*keys).agg(*[
@@ -234,8 +240,8 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median",
-           method: str = "exact") -> DataFrame:
-    return quantiles(df, value, [0.5], keys, [name], method)
+           method: str = "exact", max_group: int | None = None) -> DataFrame:
+    return quantiles(df, value, [0.5], keys, [name], method, max_group=max_group)
 
 
 def one_row(df: DataFrame) -> dict:

@@ -25,11 +25,18 @@ def impute_median(df: DataFrame, value: str, key: str = "building_id",
     group medians and the join."""
     from wattlane.session import materialize
 
-    gm = median(df, value, [key], "_gmed", method)
+    # One small pass: NULL count and largest group. Without NULLs there is
+    # nothing to fill (the result is the input); otherwise the group size
+    # routes the medians without a second counting job.
+    st = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("z"))
+          .agg(F.max("n").alias("n"), F.sum("z").alias("z"), F.sum("n").alias("t")).first())
+    if st is None or not st["z"]:
+        return df
+    gm = median(df, value, [key], "_gmed", method, max_group=st["n"])
     filled = (df.join(gm, [key], "left")
               .withColumn(value, F.coalesce(F.col(value), F.col("_gmed"))).drop("_gmed"))
     filled = materialize(filled, "group-filled")
-    glob = row_literals(median(filled, value, [], "_all", method))["_all"]
+    glob = row_literals(median(filled, value, [], "_all", method, max_group=st["t"]))["_all"]
     return filled.withColumn(value, F.coalesce(F.col(value), glob))
 
 
