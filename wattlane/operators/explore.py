@@ -163,15 +163,41 @@ def _corr_from_moments(tag: str) -> Column:
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], lower_only: bool = False) -> DataFrame:
     """Long-form Pearson matrix (i, j, col_i, col_j, corr) on pairwise-complete
-    rows: the six sums of every pair in ONE aggregate pass (plain sums keep
-    the aggregate in codegen), then ``stack``. A constant side gives NULL,
-    never a divide-by-zero. ``lower_only`` keeps i > j (the masked heatmap)."""
+    rows, then ``stack``. A constant side gives NULL, never a divide-by-zero.
+    ``lower_only`` keeps i > j (the masked heatmap).
+
+    A first, cheap pass counts NULLs and takes the mean per column (values
+    are centred on it). Pairs of NULL-free columns
+    share per-column sums and need one cross sum each; only pairs touching a
+    column with NULLs carry their own masked sums. Everything else is ONE
+    aggregate of plain sums, which stays inside codegen."""
     cols = list(cols)
+    first = df.select(*[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)],
+                      *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    has_null = [bool(first[f"z{i}"]) for i in range(len(cols))]
+    # centred values: correlation is shift-invariant, and centring keeps the
+    # plain sums free of cancellation for large-magnitude columns
+    x = {c: F.col(c).cast("double") - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
     pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if i >= j]
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("n_all")]
+    for i, c in enumerate(cols):
+        if not has_null[i]:
+            aggs += [F.sum(x[c]).alias(f"s{i}"), F.sum(x[c] * x[c]).alias(f"ss{i}")]
     for i, j in pairs:
-        aggs += _pair_moments(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"), f"{i}_{j}")
+        tag = f"{i}_{j}"
+        if has_null[i] or has_null[j]:
+            aggs += _pair_moments(x[cols[i]], x[cols[j]], tag)
+        elif i != j:
+            aggs.append(F.sum(x[cols[i]] * x[cols[j]]).alias(f"sxy{tag}"))
     moments = df.select(*aggs)
+    shared = {}
+    for i, j in pairs:
+        tag = f"{i}_{j}"
+        if not (has_null[i] or has_null[j]):
+            shared.update({f"n{tag}": F.col("n_all"), f"sx{tag}": F.col(f"s{i}"), f"sy{tag}": F.col(f"s{j}"),
+                           f"sxx{tag}": F.col(f"ss{i}"), f"syy{tag}": F.col(f"ss{j}"),
+                           f"sxy{tag}": F.col(f"ss{i}") if i == j else F.col(f"sxy{tag}")})
+    moments = moments.withColumns(shared)
     wide = moments.select(*[_corr_from_moments(f"{i}_{j}").alias(f"p{i}_{j}") for i, j in pairs])
     entries = []
     for i, j in pairs:
