@@ -75,14 +75,6 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _key_match(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
-
-
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    pos_col: str = "pos", partitions: int | None = None,
                    limit: int | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wattlane.sources import tables as T
 

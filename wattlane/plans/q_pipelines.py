@@ -35,7 +35,7 @@ def c0(spark, sf_dir):
 # --------------------------------------------------------------------------
 from wattlane.functions import calendar as C  # noqa: E402
 from wattlane.operators import explore as X  # noqa: E402
-from wattlane.plans.catalog import SH, TWO_PI, cal_sql  # noqa: E402
+from wattlane.plans.catalog import TWO_PI, cal_sql  # noqa: E402
 from wattlane.plans.pipelines import (additional_features, preprocess_dashboard,  # noqa: E402
                                       preprocess_script)
 from wattlane.plans.q_relational import HOURLY, _W5_SQL, _season_sql  # noqa: E402

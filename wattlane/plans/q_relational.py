@@ -12,7 +12,7 @@ from wattlane.operators import quality as QY
 from wattlane.operators import windows as WN
 from wattlane.operators.explore import bounded_sample, numeric_columns, preview, weekday_means
 from wattlane.operators.ordering import median, one_row, quantiles
-from wattlane.operators.split import group_fraction_sample, hash_order, stratified_split
+from wattlane.operators.split import group_fraction_sample, stratified_split
 from wattlane.plans.catalog import SC, SH, TWO_PI, R, cal_sql, register
 from wattlane.plans.pipelines import additional_features, time_features
 from wattlane.sources import tables as T
