@@ -35,7 +35,7 @@ def c0(spark, sf_dir):
 # --------------------------------------------------------------------------
 from wattlane.functions import calendar as C  # noqa: E402
 from wattlane.operators import explore as X  # noqa: E402
-from wattlane.plans.catalog import TWO_PI, cal_sql  # noqa: E402
+from wattlane.plans.catalog import SH, TWO_PI, cal_sql  # noqa: E402
 from wattlane.plans.pipelines import (additional_features, preprocess_dashboard,  # noqa: E402
                                       preprocess_script)
 from wattlane.plans.q_relational import HOURLY, _W5_SQL, _season_sql  # noqa: E402
@@ -91,7 +91,31 @@ def c3(spark, sf_dir):
     return preprocess_dashboard(T.readings_hourly(spark, sf_dir))
 
 
-@register("C4_preprocess_matrix_scaled")
+def _c4_sql() -> str:
+    from wattlane.operators import load as LD
+    from wattlane.plans.q_relational import _case_map
+    season = _season_sql('month("timestamp")', C.SEASONS_FR)
+    feats = ["energy_consumption", "temperature", "humidity", "hour", "day_of_week", "is_weekend", "hour_sin",
+             "hour_cos", "day_sin", "day_cos"] + [f"season_{v}" for v in sorted(C.SEASONS_FR)]
+    onehot = ", ".join(f"CAST(coalesce(season = '{v}', false) AS INTEGER) AS season_{v}" for v in sorted(C.SEASONS_FR))
+    stats = ", ".join(f"avg({f}) AS m_{i}, stddev_pop({f}) AS s_{i}" for i, f in enumerate(feats))
+    scaled = ", ".join(f"({f} - m_{i}) / CASE WHEN s_{i} = 0 THEN 1.0 ELSE s_{i} END AS {f}"
+                       for i, f in enumerate(feats))
+    return SH + f"""
+, b AS (SELECT *, {season} AS season FROM shipments),
+x AS (SELECT l_orderkey, l_linenumber, value AS energy_consumption,
+             {_case_map('season', LD.SERIES_BASE_TEMPERATURE)} + sin({PI2} * hour("timestamp") / 24.0) * 5.0 AS temperature,
+             least(greatest(60.0 + sin({PI2} * dayofyear("timestamp") / 365.0) * 20.0, 20.0), 95.0) AS humidity,
+             CAST(hour("timestamp") AS INTEGER) AS hour, CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
+             CAST(isodow("timestamp") - 1 >= 5 AS INTEGER) AS is_weekend,
+             sin({PI2} * hour("timestamp") / 24.0) AS hour_sin, cos({PI2} * hour("timestamp") / 24.0) AS hour_cos,
+             sin({PI2} * (isodow("timestamp") - 1) / 7.0) AS day_sin, cos({PI2} * (isodow("timestamp") - 1) / 7.0) AS day_cos,
+             {onehot} FROM b),
+st AS (SELECT {stats} FROM x)
+SELECT l_orderkey, l_linenumber, {scaled} FROM x, st"""
+
+
+@register("C4_preprocess_matrix_scaled", _c4_sql())
 def c4(spark, sf_dir):
     """Single-series matrix: expected-load series as consumption, baseline
     temperature / humidity, calendar, cycles, season one-hot; all scaled by
