@@ -77,7 +77,7 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
 
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    pos_col: str = "pos", partitions: int | None = None,
-                   limit: int | None = None) -> DataFrame:
+                   limit: int | None = None, max_group: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 0-based position of the row within ``keys`` (the
     whole table when ``keys`` is empty) in ``order``.
 
@@ -87,7 +87,7 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     """
     keys = list(keys)
     ocols = [F.col(o) if isinstance(o, str) else o for o in order]
-    cold, hot = split_hot(df, keys, limit)
+    cold, hot = split_hot(df, keys, limit, max_group)
     parts = []
     if cold is not None:
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*ocols)

@@ -85,5 +85,5 @@ def chronological_split(df: DataFrame, order: Sequence[str], test_size: float =
     test. Only the count reaches the driver."""
     n = df.count()
     cutoff = F.lit(int(n * (1.0 - test_size)))
-    p = with_positions(df, [], order, "_pos", limit=limit)
+    p = with_positions(df, [], order, "_pos", limit=limit, max_group=n)
     return p.withColumn(name, (F.col("_pos") >= cutoff).cast("int")).drop("_pos")
