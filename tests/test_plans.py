@@ -49,3 +49,18 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
 def test_value_filter_pushdown_when_nan_free(spark):
     r = T.readings(spark, SF_MID, nan_safe=False).where("meter_reading > 100").select("building_id")
     assert "GreaterThan(value,100.0)" in _plan(r)
+
+
+import pytest  # noqa: E402
+
+import __spark_entry__ as E  # noqa: E402
+from tests.conftest import SF_SMALL  # noqa: E402
+
+
+@pytest.mark.parametrize("name", ["C0_flagship_outliers_by_building_hour", "D1_median_imputation",
+                                  "F25_hourly_spine", "A24_correlation_matrix", "J7_interval_overlay",
+                                  "W7_surrogate_row_id", "L8_stratified_split", "J1_building_stats_join"])
+def test_no_cross_join_or_row_udf(spark, name):
+    plan = _plan(E.queries()[name](spark, SF_SMALL), "simple")
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in plan
