@@ -1,10 +1,12 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) on Spark.
 
 fit:
-  * every row draws one hash per tree; rows under a rate of about
-    3 x 256 / n enter that tree's candidate set (one pass, no explode of
-    the whole table), and each tree keeps its 256 smallest hashes
-    (a window over tree id: 100 groups of ~768 rows, whatever n is);
+  * one pass with one hash per row keeps the rows under trees x 3 x 256 / n;
+    only those draw a hash per tree and enter a tree's candidate set with
+    the remaining probability (so each tree takes a row with probability
+    about 3 x 256 / n, and no explode of the whole table happens); each
+    tree keeps its 256 smallest hashes (a window over tree id: 100 groups
+    of ~768 rows, whatever n is);
   * ``groupBy(tree).applyInPandas`` grows one tree per group (random
     non-constant feature, uniform split between min and max, height limit
     ceil(log2(256)) = 8) and returns the tree as node rows;
@@ -160,9 +162,14 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str, n_tre
     psi = min(max_samples, n)
     rate = min(1.0, 3.0 * psi / max(n, 1))
     height = max(1, math.ceil(math.log2(max(psi, 2))))
+    # One hash per row first: only rows under trees x rate can enter any
+    # tree, and only those draw their per-tree hashes (at rate / pre), so
+    # each tree still takes each row with probability ``rate``.
+    pre = min(1.0, n_trees * rate)
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: _unit_hash(key, t, seed) < F.lit(rate))
-    cand = (df.select(key, *[F.col(c).cast("double").alias(c) for c in features])
+                     lambda t: _unit_hash(key, t, seed) < F.lit(rate / pre))
+    cand = (df.where(_unit_hash(key, F.lit(-1), seed) < F.lit(pre))
+            .select(key, *[F.col(c).cast("double").alias(c) for c in features])
             .withColumn("tree", F.explode(trees))
             .withColumn("_u", _unit_hash(key, F.col("tree"), seed)))
     from pyspark.sql import Window
