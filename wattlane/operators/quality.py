@@ -15,8 +15,15 @@ from pyspark.sql import functions as F
 from wattlane.operators.ordering import column_quantiles, median, quantiles, row_literals
 
 
+def group_null_stats(df: DataFrame, value: str, key: str):
+    """One small pass: largest group (``n``), NULL count (``z``) and total
+    rows (``t``) -- everything the imputation and per-group routing need."""
+    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("z"))
+            .agg(F.max("n").alias("n"), F.sum("z").alias("z"), F.sum("n").alias("t")).first())
+
+
 def impute_median(df: DataFrame, value: str, key: str = "building_id",
-                  method: str = "exact") -> DataFrame:
+                  method: str = "exact", stats=None) -> DataFrame:
     """NULL -> median of the row's group; still NULL -> global median of the
     already group-filled column (two passes, in that order).
 
@@ -28,8 +35,7 @@ def impute_median(df: DataFrame, value: str, key: str = "building_id",
     # One small pass: NULL count and largest group. Without NULLs there is
     # nothing to fill (the result is the input); otherwise the group size
     # routes the medians without a second counting job.
-    st = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("z"))
-          .agg(F.max("n").alias("n"), F.sum("z").alias("z"), F.sum("n").alias("t")).first())
+    st = stats if stats is not None else group_null_stats(df, value, key)
     if st is None or not st["z"]:
         return df
     gm = median(df, value, [key], "_gmed", method, max_group=st["n"])

@@ -79,10 +79,16 @@ def flagship(spark, sf_dir: str) -> DataFrame:
     from wattlane.operators.quality import cap_outliers
     from wattlane.sources.tables import readings
 
-    f = add_calendar(readings(spark, sf_dir), minute=False)
-    f = impute_median(f, "meter_reading", "building_id")
-    f = materialize(lag_rolling(f, ["building_id"], ["timestamp", "reading_id"], "meter_reading", (1, 24), 24),
-                    "flagship-features")
+    from wattlane.operators.quality import group_null_stats
+
+    r = readings(spark, sf_dir)
+    # one small pass serves the imputation and the per-building routing
+    st = group_null_stats(r, "meter_reading", "building_id")
+    biggest = st["n"] if st is not None else 0
+    f = add_calendar(r, minute=False)
+    f = impute_median(f, "meter_reading", "building_id", stats=st)
+    f = materialize(lag_rolling(f, ["building_id"], ["timestamp", "reading_id"], "meter_reading", (1, 24), 24,
+                                max_group=biggest), "flagship-features")
     f = cap_outliers(f, ["meter_reading"], "iqr", 1.5, flag_suffix="_outlier")
     return f.groupBy("building_id", "hour").agg(
         F.count(F.lit(1)).alias("n_rows"),
