@@ -73,3 +73,13 @@ def test_mixed_hot_and_cold_groups(spark):
     db = {x[0]: x[1] for x in b.collect()}
     assert da.keys() == db.keys()
     assert all((da[k] is None and db[k] is None) or abs(da[k] - db[k]) < 1e-9 for k in da)
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    r = T.readings(spark, SF_MID)
+    ex = quantiles(r, "meter_reading", [0.25, 0.5, 0.75], ["building_id"]).orderBy("building_id").collect()
+    ap = quantiles(r, "meter_reading", [0.25, 0.5, 0.75], ["building_id"], method="approx").orderBy("building_id").collect()
+    # percentile_approx returns an observed value within one rank of the exact one
+    for a, b in zip(ex, ap):
+        spread = max(abs(a[i] - b[i]) for i in range(1, 4))
+        assert spread < 40.0
