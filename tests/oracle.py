@@ -112,6 +112,8 @@ def main(argv):
         if only and not any(name.startswith(o) for o in only):
             continue
         if name not in sqls:
+            if os.environ.get("WATTLANE_SQL_ONLY"):
+                continue
             t0 = time.time()
             try:
                 n = fn(spark, sf_dir).count()
