@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import jaccard, langid, packing, substring, tokens
+from wattlane.llm import jaccard, langid, mixing, packing, substring, tokens
 from wattlane.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document so that sources meet their weights."""
+    return mixing.mixing_plan(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op9_best_fit_packing": op9_best_fit_packing,
