@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import jaccard, langid, mixing, packing, substring, tokens
+from wattlane.llm import jaccard, langid, metric, mixing, packing, substring, tokens
 from wattlane.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors at cosine 0.9 or more."""
+    return metric.range_join(table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
