@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import jaccard, langid, metric, mixing, packing, substring, tokens
+from wattlane.llm import jaccard, langid, metric, mixing, packing, substring, tokens, urls
 from wattlane.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,6 +42,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric.range_join(table(spark, sf_dir, "embeddings"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: rules, then the language-model ratio."""
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_url_filter": op7_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
