@@ -10,12 +10,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import jaccard, langid, metric, mixing, packing, substring, tokens, toxicity, urls
+from wattlane.llm import ann, jaccard, langid, metric, mixing, packing, substring, tokens, toxicity, urls
 from wattlane.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document after exact 20-word repeats go."""
     out = substring.dedup_substrings(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_graph_neighbours": op1_graph_neighbours,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,
