@@ -20,6 +20,7 @@ empty result. Repeated rows are packed once each.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import stage
-from wattlane.llm.tokens import UnitEncoder
+from wattlane.llm.tokens import encoder, load_tokenizer, prove_whole
 
 SIZE = 1024
 CELL_ROWS = 8192
@@ -37,17 +38,17 @@ UNDERFULL = 0.97
 
 
 def id_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def piece_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every piece."""
     end = id_bytes([end_id])
+    whole = docs.sparkSession.sparkContext.broadcast(prove_whole(load_tokenizer(tokenizer_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = None
+        enc = encoder(tokenizer_path, id_bytes, whole.value)
         for b in batches:
-            enc = enc or UnitEncoder(tokenizer_path, id_bytes)
             cols: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 units = enc.units(text or "")
@@ -99,63 +100,59 @@ class Bins:
                 open_bins[left].append(b)
                 rooms |= 1 << left
 
-    def _step(self, src: int, live: list[int]) -> tuple | None:
-        """The step out of ``src`` that moves most tokens into another live
-        bin: (pieces out, target bin, piece back or None). One piece may
-        move alone; one or two may go against one piece of the target."""
-        entries = [(self.size - self.fill[b], 0, b, -1) for b in live if b != src]
-        entries += [(self.size - self.fill[b], x[0], b, k) for b in live if b != src for k, x in enumerate(self.items[b])]
-        if not entries:
-            return None
-        e = np.array(entries)
-        e = e[np.argsort(e[:, 0], kind="stable")]
-        widest = np.zeros(self.size + 1, int)   # by length of the piece that comes back
-        where = np.full(self.size + 1, -1)
-        widest[e[:, 1]], where[e[:, 1]] = e[:, 0], np.arange(len(e))  # the last, widest one stays
-        out = self.items[src]
-        n = len(out)
-        i, j = np.triu_indices(n)               # i == j: one piece alone
-        lens = np.array([x[0] for x in out])
-        sums = np.where(i == j, lens[i], lens[i] + lens[j])
-        sums, first = np.unique(sums, return_index=True)
-        d = sums[:, None] - np.arange(self.size + 1)[None, :]
-        d = np.where((d > 0) & (d <= widest[None, :]) & (where[None, :] >= 0), d, 0)
-        g, back = divmod(int(d.argmax()), self.size + 1)
-        if not d[g, back]:
-            return None
-        a, b = int(i[first[g]]), int(j[first[g]])
-        group = [out[a]] if a == b else [out[a], out[b]]
-        _, _, target, k = e[where[back]]
-        return group, int(target), self.items[int(target)][int(k)] if k >= 0 else None
-
     def local_search(self) -> None:
         """Empty the emptiest bin by steps that each raise the sum of
-        squared fills (tokens only go to bins at least as full) until the
-        lower bound is met or no bin below ``UNDERFULL`` has a step left."""
-        bound = -(-sum(self.fill) // self.size)
-        used = sum(f > 0 for f in self.fill)
-        live = [b for b in range(len(self.fill)) if 0 < self.fill[b] < self.size]
-        while used > bound:
-            # emptiest first; where it has no step, the next underfull bin
-            step = None
-            for src in sorted((b for b in live if self.fill[b] < UNDERFULL * self.size), key=self.fill.__getitem__):
-                step = self._step(src, [b for b in live if self.fill[b] >= self.fill[src]])
-                if step:
-                    break
-            if step is None:
-                return
-            group, b, back = step
-            for x in group:
-                self.items[src].remove(x)
-                self.items[b].append(x)
+        squared fills: one or two of its pieces go to a bin at least as
+        full, for one piece of that bin or (one alone) for nothing. A bin
+        without a step left is closed as a source, and the next emptiest
+        follows, until the lower bound is met or all below ``UNDERFULL``
+        were sources."""
+        size = self.size
+        fill = np.array(self.fill, np.int64)
+        home = np.repeat(np.arange(len(fill)), [len(x) for x in self.items])
+        lens = np.array([x[0] for it in self.items for x in it], np.int64)
+        rows = [x for it in self.items for x in it]
+        bound, used = -(-int(fill.sum()) // size), len(fill)
+        backs = np.arange(size + 1)
+        source = fill < UNDERFULL * size
+        while used > bound and source.any():
+            live = np.flatnonzero(source)
+            src = live[fill[live].argmin()]
+            room = np.where(fill >= fill[src], size - fill, 0)
+            room[src] = 0
+            widest = np.zeros(size + 1, np.int64)     # by length of the piece that comes back, 0: none
+            np.maximum.at(widest, lens, room[home])
+            widest[0] = room.max()
+            own = np.flatnonzero(home == src)
+            i, j = np.triu_indices(len(own))          # i == j: one piece alone
+            sums = np.where(i == j, lens[own[i]], lens[own[i]] + lens[own[j]])
+            sums, pick = np.unique(sums, return_index=True)
+            d = sums[:, None] - backs[None, :]
+            d[(d < 0) | (d > widest[None, :])] = 0
+            d[i[pick] != j[pick], 0] = 0              # two pieces only go against one
+            g, back = divmod(int(d.argmax()), size + 1)
+            d = int(d[g, back])
+            if not d:
+                source[src] = False
+                continue
+            group = list({int(own[i[pick[g]]]), int(own[j[pick[g]]])})
             if back:
-                self.items[b].remove(back)
-                self.items[src].append(back)
-            d = sum(x[0] for x in group) - (back[0] if back else 0)
-            self.fill[src] -= d
-            self.fill[b] += d
-            used -= not self.fill[src]
-            live = [x for x in live if 0 < self.fill[x] < self.size]
+                k = int(np.flatnonzero((lens == back) & (room[home] >= d))[0])
+                target = home[k]
+                home[k] = src
+            else:
+                target = int(np.flatnonzero(room >= d)[0])
+            home[group] = target
+            fill[src] -= d
+            fill[target] += d
+            source[target] &= fill[target] < UNDERFULL * size
+            if not fill[src]:
+                used -= 1
+                source[src] = False
+        self.fill = fill.tolist()
+        self.items = [[] for _ in self.fill]
+        for b, x in zip(home.tolist(), rows):
+            self.items[b].append(x)
 
 
 def pack(lengths, rows, size: int = SIZE) -> Bins:
