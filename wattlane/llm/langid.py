@@ -21,7 +21,7 @@ code-point order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -267,22 +267,23 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Net | None:
     return train([r["slice"].encode() for r in rows], [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, net: Net | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep`` columns, lang_pred and score of every row."""
-    src = docs.select(F.col("doc_id").cast("long"), *keep,
-                      F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_read"))
-    if net is None:
-        return src.select("doc_id", *keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+def predict(docs: DataFrame, net: Net | None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ``keep`` columns (``text`` may be one), lang_pred and score
+    of every row."""
     names = ["doc_id", *keep]
+    src = docs.select(F.col("doc_id").cast("long"), *(c for c in keep if c != "text"), "text",
+                      F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    if net is None:
+        return src.select(*names, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = src.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(net)
         for b in batches:
-            texts = [(t or "").encode() for t in b.column("_read").to_pylist()]
+            read = b.column("_letter").to_pylist()
+            texts = [t.encode() if r else b"" for t, r in zip(b.column("text").to_pylist(), read)]
             p = reader.documents(texts)
             best = p.argmax(1)
-            read = [bool(t) for t in texts]
             lang = [net.langs[i] if r else UND for i, r in zip(best, read)]
             score = np.where(read, p[np.arange(len(best)), best], 0.0).clip(0, 1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
