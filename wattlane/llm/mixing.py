@@ -17,7 +17,8 @@ third of all rows is as many blocks as it needs, and expectations are kept.
 
 All draws come from hashes of the document's key, so reruns and recomputed
 tasks agree. Rows equal in doc_id, source and size are one item with a
-count. Null text or blank: size 0, taken 0. Null doc_id and source are
+count. Null text or blank: size 0, taken 0, not in the
+mix. Null doc_id and source are
 values of their own.
 """
 
@@ -110,7 +111,7 @@ def decide(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     items = stage(items.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
                   .withColumn("key", item_key()), "items")
     src = stage(sources_with_targets(items), "targets")
-    share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(CAP)))).otherwise(0.0)
+    share = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(CAP)))).otherwise(0.0)
     t = src.withColumnRenamed("source", "_s")
     items = (items.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
              .withColumn("whole", F.floor(share)).withColumn("frac", share - F.col("whole"))
