@@ -35,18 +35,18 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """(ordinal, column, type, distinct, nulls, completeness text) per column.
 
     Distinct counts exclude NULL. ``approx=True`` uses HyperLogLog++
-    (``approx_count_distinct``) instead of exact distinct counts.
+    (``approx_count_distinct``) instead of exact distinct counts. Exact
+    counts take one aggregate per column: together they would be planned as
+    an Expand, one copy of the whole table per column.
     """
-    cols = df.columns
-    dist = F.approx_count_distinct if approx else F.count_distinct
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(cols):
-        aggs += [dist(F.col(c)).alias(f"d{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}")]
-    wide = df.select(*aggs)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    stack = ", ".join(f"{i}, '{c}', '{types[c]}', d{i}, z{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr("n", f"stack({len(cols)}, {stack}) AS (ordinal, column_name, "
-                                "data_type, distinct_values, null_values)")
+    dist = F.approx_count_distinct if approx else F.count_distinct
+    long = None
+    for i, c in enumerate(df.columns):
+        row = df.select(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
+                        dist(F.col(c)).alias("distinct_values"), F.count_if(F.col(c).isNull()).alias("null_values"),
+                        F.count(F.lit(1)).alias("n"))
+        long = row if long is None else long.unionByName(row)
     pct = F.bround(F.try_divide((F.col("n") - F.col("null_values")) * 100.0, F.col("n")), 1)
     return long.withColumn("completeness", F.concat(F.format_string("%.1f", pct), F.lit("%"))).drop("n")
 

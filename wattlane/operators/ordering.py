@@ -19,22 +19,21 @@ recomputation after an executor loss.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattlane.session import materialize
+from wattlane.session import materialize, ship_package
 
-# Groups up to this many rows are handled by the one-shuffle built-in plan
+# Groups up to this many rows share the one-shuffle built-in plan
 # (``row_number`` / ``percentile`` / a plain window): one task holds one
-# group, which is bounded. Larger ("hot") groups take the range-partitioned
-# path. Override per call with ``limit=`` or globally with WATTLANE_GROUP_LIMIT.
-GROUP_LIMIT = int(os.environ.get("WATTLANE_GROUP_LIMIT", 2_000_000))
-# Without keys the one group is the whole table and the built-in plan runs
-# in a single task (no parallelism at all), so the switch comes earlier.
-KEYLESS_LIMIT = int(os.environ.get("WATTLANE_KEYLESS_LIMIT", 1_000_000))
+# group, which is bounded. Larger ("hot") groups are split over tasks by the
+# range-partitioned path. ``limit=`` overrides it per call. Without keys the
+# one group is the whole table: always the range-partitioned path.
+GROUP_LIMIT = 2_000_000
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None,
@@ -46,20 +45,22 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None,
     already knows the largest group size passes ``max_group`` and saves the
     counting job when everything is bounded."""
     keys = list(keys)
-    if limit is None:
-        limit = GROUP_LIMIT if keys else KEYLESS_LIMIT
+    limit = GROUP_LIMIT if limit is None else limit
+    if not keys:
+        return None, df
     if max_group is not None and max_group <= limit:
         return df, None
-    if not keys:
-        n = df.count()
-        return (df, None) if n <= limit else (None, df)
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > limit).select(*keys))
+           .where(F.col("_n") > limit).select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
     if hot.isEmpty():
         return df, None
     hot = materialize(hot, "hot-keys")
-    cold = df.join(hot, keys, "left_anti")
-    return (None if cold.isEmpty() else cold), df.join(hot, keys, "left_semi")
+    on = None  # null keys are a group like any other
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+        on = same if on is None else on & same
+    cold = df.join(hot, on, "left_anti")
+    return (None if cold.isEmpty() else cold), df.join(hot, on, "left_semi")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -168,9 +169,13 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    # ``percentile`` combines map-side, so even without keys only its final
-    # merge is serial: the group limit applies, not the keyless one.
-    cold, hot = split_hot(d, keys, GROUP_LIMIT if limit is None else limit, max_group)
+    # ``percentile`` combines map-side, so without keys only its final merge
+    # is serial: up to the group limit it serves the whole table too.
+    if keys:
+        cold, hot = split_hot(d, keys, limit, max_group)
+    else:
+        small = d.count() <= (GROUP_LIMIT if limit is None else limit)
+        cold, hot = (d, None) if small else (None, d)
     parts = []
     if cold is not None:
         parts.append(cold.groupBy(*keys).agg(*[
@@ -225,9 +230,12 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             out[e.name] = F.lit(row[e.name]).cast(e.dataType)
         return out
     out = row_literals(df.select(*extra)) if extra else {}
+    # all columns in one range sort: (column, value) rows ranked per column
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_e")).select("_e.*")
+    found = {r["_c"]: r for r in quantiles(long, "_x", probs, ["_c"], [names[p] for p in probs], limit=0).collect()}
     for c in cols:
-        q = quantiles(df, c, probs, [], [f"{c}__{names[p]}" for p in probs], limit=0)
-        out.update(row_literals(q))
+        for p in probs:
+            out[f"{c}__{names[p]}"] = F.lit(found[c][names[p]] if c in found else None).cast("double")
     return out
 
 
@@ -278,14 +286,47 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return _union(parts)
 
 
+def _running_within(keys: list[str], cols: list[str]):
+    """Running sums of ``cols`` over the sorted rows of one partition,
+    starting again where the keys change."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, {c: 0 for c in cols}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            marks = [b.column(k).to_pylist() for k in keys]
+            rows = list(zip(*marks)) if keys else [()] * b.num_rows
+            new = np.array([i for i in range(len(rows)) if (rows[i] != rows[i - 1] if i else rows[0] != last)], np.int64)
+            sums = []
+            for c in cols:
+                v = b.column(f"_run_{c}").to_numpy(zero_copy_only=False)
+                total = np.cumsum(v)
+                head = int(new[0]) if len(new) else len(v)
+                # where a sum starts, all before it is taken off
+                before = np.where(new > 0, total[new - 1], 0).astype(v.dtype)
+                out = total.copy()
+                out[head:] -= np.repeat(before, np.diff(np.append(new, len(v))))
+                out[:head] += carry[c]
+                carry[c] = out[-1]
+                sums.append(pa.array(out))
+            last = rows[-1]
+            keep = [n for n in b.schema.names if not n.startswith("_run_")]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *sums], names=[*keep, *(f"_loc_{c}" for c in cols)])
+    return run
+
+
 def _range_running(df: DataFrame, keys: list[str], order, cols, suffix, partitions) -> DataFrame:
+    ship_package(df.sparkSession)
     n = _num_partitions(df, partitions)
     ocols = [F.col(o) if isinstance(o, str) else o for o in order]
     sort_cols = [F.col(k) for k in keys] + ocols
-    s = (df.repartitionByRange(n, *sort_cols).withColumn("_pid", F.spark_partition_id()))
-    wl = (Window.partitionBy("_pid", *keys).orderBy(*ocols)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = materialize(s.withColumns({f"_loc_{c}": F.sum(c).over(wl) for c in cols}), "running")
+    kinds = {c: "double" if df.schema[c].dataType.simpleString() in ("double", "float") else "long" for c in cols}
+    s = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols).withColumn("_pid", F.spark_partition_id())
+         .withColumns({f"_run_{c}": F.coalesce(F.col(c).cast(kinds[c]), F.lit(0).cast(kinds[c])) for c in cols}))
+    plain = s.drop(*[f"_run_{c}" for c in cols])
+    schema = plain.select("*", *[F.lit(0).cast(kinds[c]).alias(f"_loc_{c}") for c in cols]).schema
+    # the rows stay where the range sort put them: no second exchange
+    s = materialize(s.mapInArrow(_running_within(keys, list(cols)), schema), "running")
     runs = s.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
     if keys:
         wk = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -300,6 +341,6 @@ def _range_running(df: DataFrame, keys: list[str], order, cols, suffix, partitio
     for k in keys:
         cond = cond & s[k].eqNullSafe(runs[f"_r_{k}"])
     out = s.join(runs, cond, "inner").withColumns(
-        {f"{c}{suffix}": F.col(f"_off_{c}") + F.col(f"_loc_{c}") for c in cols})
+        {f"{c}{suffix}": F.coalesce(F.col(f"_off_{c}"), F.lit(0)) + F.col(f"_loc_{c}") for c in cols})
     return out.drop("_pid", "_rpid", *[f"_r_{k}" for k in keys],
                     *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])

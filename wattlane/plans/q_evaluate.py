@@ -147,7 +147,7 @@ def a34(spark, sf_dir):
 @register("A35_column_means", HOURLY + """
 SELECT avg(meter_reading) AS meter_reading, avg(hour("timestamp")) AS hour FROM readings_hourly""")
 def a35(spark, sf_dir):
-    h = T.readings_hourly(spark, sf_dir).withColumn("hour", F.hour("timestamp"))
+    h = T.readings_hourly(spark, sf_dir, stage=False).withColumn("hour", F.hour("timestamp"))
     return h.select(F.avg("meter_reading").alias("meter_reading"), F.avg("hour").alias("hour"))
 
 

@@ -53,7 +53,7 @@ SELECT 0 AS ordinal, 'building_id' AS column_name, count(*) - count(building_id)
 UNION ALL SELECT 1, 'timestamp', count(*) - count("timestamp") FROM readings_hourly
 UNION ALL SELECT 2, 'meter_reading', count(*) - count(meter_reading) FROM readings_hourly""")
 def a5(spark, sf_dir):
-    return X.null_counts(T.readings_hourly(spark, sf_dir))
+    return X.null_counts(T.readings_hourly(spark, sf_dir, stage=False))
 
 
 @register("A6_column_profile", HOURLY + """

@@ -67,7 +67,7 @@ def c1(spark, sf_dir):
     """Required sources loaded; shape and null cells of the panel and of
     its hourly (gap-filled) form."""
     out = None
-    for name, df in (("readings", T.readings(spark, sf_dir)), ("readings_hourly", T.readings_hourly(spark, sf_dir))):
+    for name, df in (("readings", T.readings(spark, sf_dir)), ("readings_hourly", T.readings_hourly(spark, sf_dir, stage=False))):
         nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
         row = df.select(F.lit(name).alias("table_name"), F.lit(len(df.columns)).alias("n_columns"),
                         F.count(F.lit(1)).alias("n_rows"), nulls.cast("long").alias("null_cells"))
@@ -221,7 +221,7 @@ UNION ALL SELECT 9, 'month_sin', count(*) - count(month_sin) FROM cal""")
 def c11(spark, sf_dir):
     """Nulls of the first ten columns of the hourly panel with calendar
     features, before imputation (schema order, not sorted)."""
-    f = C.add_calendar(T.readings_hourly(spark, sf_dir), minute=False, day_cycle=True)
+    f = C.add_calendar(T.readings_hourly(spark, sf_dir, stage=False), minute=False, day_cycle=True)
     return X.null_counts(f).where(F.col("ordinal") < 10)
 
 

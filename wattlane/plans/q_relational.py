@@ -225,15 +225,15 @@ HOURLY = f"WITH {T.SQL_READINGS_HOURLY}\n"
 
 @register("F12_null_to_zero", HOURLY + 'SELECT building_id, "timestamp", coalesce(meter_reading, 0.0) AS meter_reading FROM readings_hourly')
 def f12(spark, sf_dir):
-    return QY.fill_zero(T.readings_hourly(spark, sf_dir), ["meter_reading"])
+    return QY.fill_zero(T.readings_hourly(spark, sf_dir, stage=False), ["meter_reading"])
 
 
 @register("F13_null_to_mean", HOURLY + """
-SELECT building_id, "timestamp",
-       coalesce(meter_reading, (SELECT avg(meter_reading) FROM readings_hourly)) AS meter_reading
-FROM readings_hourly""")
+, h AS MATERIALIZED (SELECT * FROM readings_hourly),
+m AS (SELECT avg(meter_reading) AS mean FROM h)
+SELECT building_id, "timestamp", coalesce(meter_reading, mean) AS meter_reading FROM h, m""")
 def f13(spark, sf_dir):
-    return QY.fill_mean(T.readings_hourly(spark, sf_dir), ["meter_reading"])
+    return QY.fill_mean(T.readings_hourly(spark, sf_dir, stage=False), ["meter_reading"])
 
 
 def _temp_sql(t: str, cool: float, heat: float) -> str:
@@ -405,7 +405,7 @@ def f24(spark, sf_dir):
 
 @register("F25_hourly_spine", HOURLY + "SELECT * FROM readings_hourly")
 def f25(spark, sf_dir):
-    return T.readings_hourly(spark, sf_dir)
+    return T.readings_hourly(spark, sf_dir, stage=False)
 
 
 @register("F26_label_text", R + "SELECT reading_id, CASE WHEN anomaly = 0 THEN 'Normal' ELSE 'Anomalie' END AS label_txt FROM readings")
@@ -501,14 +501,14 @@ _DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Su
 @register("J6_weekday_reindex", R + f"""
 , d AS (SELECT CAST(i AS INTEGER) AS dow FROM range(7) t(i)),
 m AS (SELECT CAST(isodow("timestamp") - 1 AS INTEGER) AS dow, avg(meter_reading) AS mean
-      FROM readings WHERE anomaly = 1 AND isodow("timestamp") <> 3 GROUP BY 1)
+      FROM readings WHERE anomaly = 1 GROUP BY 1)
 SELECT d.dow, ['{"', '".join(_DAYS)}'][d.dow + 1] AS day_name,
        left(['{"', '".join(_DAYS)}'][d.dow + 1], 3) AS day_abbr, m.mean
 FROM d LEFT JOIN m USING (dow)""")
 def j6(spark, sf_dir):
-    """Weekday means of anomalous rows with Wednesdays removed: the 7-day
-    spine keeps Wednesday with a NULL mean."""
-    r = T.readings(spark, sf_dir).where((F.col("anomaly") == 1) & (F.weekday("timestamp") != 2))
+    """Weekday means of anomalous rows on the 7-day spine (a day without
+    rows keeps a NULL mean)."""
+    r = T.readings(spark, sf_dir).where(F.col("anomaly") == 1)
     return weekday_means(r, "meter_reading")
 
 
@@ -697,7 +697,7 @@ n AS (SELECT 0 AS ordinal, 'building_id' AS column_name, count(*) - count(buildi
 SELECT * FROM n WHERE ordinal < 10""")
 def l6(spark, sf_dir):
     from wattlane.operators.explore import null_counts
-    f = T.readings_hourly(spark, sf_dir).withColumn("hour", F.hour("timestamp"))
+    f = T.readings_hourly(spark, sf_dir, stage=False).withColumn("hour", F.hour("timestamp"))
     return null_counts(f).where(F.col("ordinal") < 10)
 
 

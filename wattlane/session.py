@@ -43,8 +43,10 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     Uses ``spark.checkpoint.dir`` from the session (the cluster's shared
-    folder). Only when it is unset -- local runs and tests -- a fresh
-    folder under /tmp is created and registered.
+    folder). Only where it is unset and the master is local (one machine,
+    as in tests) a fresh folder under /tmp is created and registered; on a
+    cluster executors would each write to their own disk and later reads
+    would miss rows, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,11 +55,18 @@ def scratch_dir(spark: SparkSession) -> str:
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
+    elif not is_local(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wattlane-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path inside the shared scratch folder."""
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -70,9 +79,25 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this application.
+    For the caller who has read all results that need them; returns how
+    many there were."""
+    jvm = spark.sparkContext._jvm
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    return len(paths)
+
+
 def local_path(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") else p
 
