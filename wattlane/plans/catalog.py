@@ -31,6 +31,7 @@ def register(name: str, sql: str | None = None):
 TWO_PI = 2 * math.pi
 
 R = f"WITH {T.SQL_READINGS}\n"
+LB = f"WITH {T.SQL_LABELLED}\n"
 SC = f"WITH {T.SQL_SCORED}\n"
 SH = f"WITH {T.SQL_SHIPMENTS}\n"
 Q = f"WITH {T.SQL_QUALITY}\n"

@@ -91,21 +91,20 @@ def c3(spark, sf_dir):
     return preprocess_dashboard(T.readings_hourly(spark, sf_dir))
 
 
+_C4_FEATURES = ["energy_consumption", "quantity", "discount", "hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos",
+                "day_sin", "day_cos"] + [f"season_{v}" for v in sorted(C.SEASONS_FR)]
+
+
 def _c4_sql() -> str:
-    from wattlane.operators import load as LD
-    from wattlane.plans.q_relational import _case_map
-    season = _season_sql('month("timestamp")', C.SEASONS_FR)
-    feats = ["energy_consumption", "temperature", "humidity", "hour", "day_of_week", "is_weekend", "hour_sin",
-             "hour_cos", "day_sin", "day_cos"] + [f"season_{v}" for v in sorted(C.SEASONS_FR)]
+    season = _season_sql("month(l_shipdate)", C.SEASONS_FR)
     onehot = ", ".join(f"CAST(coalesce(season = '{v}', false) AS INTEGER) AS season_{v}" for v in sorted(C.SEASONS_FR))
-    stats = ", ".join(f"avg({f}) AS m_{i}, stddev_pop({f}) AS s_{i}" for i, f in enumerate(feats))
-    scaled = ", ".join(f"({f} - m_{i}) / CASE WHEN s_{i} = 0 THEN 1.0 ELSE s_{i} END AS {f}"
-                       for i, f in enumerate(feats))
-    return SH + f"""
-, b AS (SELECT *, {season} AS season FROM shipments),
-x AS (SELECT l_orderkey, l_linenumber, value AS energy_consumption,
-             {_case_map('season', LD.SERIES_BASE_TEMPERATURE)} + sin({PI2} * hour("timestamp") / 24.0) * 5.0 AS temperature,
-             least(greatest(60.0 + sin({PI2} * dayofyear("timestamp") / 365.0) * 20.0, 20.0), 95.0) AS humidity,
+    stats = ", ".join(f"avg({f}) AS m_{i}, stddev_pop({f}) AS s_{i}" for i, f in enumerate(_C4_FEATURES))
+    scaled = ", ".join(f"round(({f} - m_{i}) / CASE WHEN s_{i} = 0 THEN 1.0 ELSE s_{i} END, 6) + 0.0 AS {f}"
+                       for i, f in enumerate(_C4_FEATURES))
+    return f"""
+WITH b AS (SELECT *, l_shipdate AS "timestamp", {season} AS season FROM lineitem),
+x AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS energy_consumption,
+             CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount,
              CAST(hour("timestamp") AS INTEGER) AS hour, CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
              CAST(isodow("timestamp") - 1 >= 5 AS INTEGER) AS is_weekend,
              sin({PI2} * hour("timestamp") / 24.0) AS hour_sin, cos({PI2} * hour("timestamp") / 24.0) AS hour_cos,
@@ -117,22 +116,22 @@ SELECT l_orderkey, l_linenumber, {scaled} FROM x, st"""
 
 @register("C4_preprocess_matrix_scaled", _c4_sql())
 def c4(spark, sf_dir):
-    """Single-series matrix: expected-load series as consumption, baseline
-    temperature / humidity, calendar, cycles, season one-hot; all scaled by
-    population std. Returns key columns plus the scaled features."""
+    """Single-series matrix: shipped value as consumption with its measured
+    companions, calendar, cycles, season one-hot; all scaled by population
+    std and rounded to 6 places. Returns key columns plus the features."""
     from wattlane.functions.scalar import one_hot
-    from wattlane.operators import load as LD
     from wattlane.operators.quality import standardize
-    s = LD.expected_series_load(T.shipments(spark, sf_dir))
-    t = F.col("timestamp")
+    s = T.table(spark, sf_dir, "lineitem")
+    t = F.col("l_shipdate")
     hs, hc = C.cyclic(F.hour(t), 24)
     ds, dc = C.cyclic(F.weekday(t), 7)
-    s = s.withColumns({"energy_consumption": F.col("value"), "hour": F.hour(t), "day_of_week": F.weekday(t),
-                       "is_weekend": C.is_weekend(t), "hour_sin": hs, "hour_cos": hc, "day_sin": ds, "day_cos": dc})
+    s = s.withColumns({"energy_consumption": F.col("l_extendedprice").cast("double"), "quantity": F.col("l_quantity").cast("double"),
+                       "discount": F.col("l_discount").cast("double"), "hour": F.hour(t), "day_of_week": F.weekday(t),
+                       "is_weekend": C.is_weekend(t), "hour_sin": hs, "hour_cos": hc, "day_sin": ds, "day_cos": dc,
+                       "season": C.season(F.month(t), C.SEASONS_FR)})
     s = s.withColumns(one_hot("season", sorted(C.SEASONS_FR), "season"))
-    feats = ["energy_consumption", "temperature", "humidity", "hour", "day_of_week", "is_weekend", "hour_sin",
-             "hour_cos", "day_sin", "day_cos"] + [f"season_{v}" for v in sorted(C.SEASONS_FR)]
-    return standardize(s, feats).select("l_orderkey", "l_linenumber", *feats)
+    z = standardize(s, _C4_FEATURES)
+    return z.select("l_orderkey", "l_linenumber", *[(F.round(f, 6) + F.lit(0.0)).alias(f) for f in _C4_FEATURES])
 
 
 _C5_SQL = R + f"""

@@ -13,7 +13,7 @@ from wattlane.operators import windows as WN
 from wattlane.operators.explore import bounded_sample, numeric_columns, preview, weekday_means
 from wattlane.operators.ordering import median, one_row, quantiles
 from wattlane.operators.split import group_fraction_sample, stratified_split
-from wattlane.plans.catalog import SC, SH, TWO_PI, R, cal_sql, register
+from wattlane.plans.catalog import LB, SC, SH, TWO_PI, R, cal_sql, register
 from wattlane.plans.pipelines import additional_features, time_features
 from wattlane.sources import tables as T
 
@@ -255,27 +255,21 @@ def f14(spark, sf_dir):
                      LD.temperature_effect(t, LD.SERIES_TEMP_SLOPES).alias("temp_effect_series"))
 
 
-def _btype_sql(key: str = "building_id") -> str:
-    d = f"(instr('0123456789abcdef', substr(md5(CAST({key} AS VARCHAR) || '42'), 1, 1)) - 1)"
-    return (f"CASE WHEN {d} <= 5 THEN 'office' WHEN {d} <= 10 THEN 'residential' "
-            f"WHEN {d} <= 13 THEN 'commercial' ELSE 'industrial' END")
-
-
 def _case_map(expr: str, mapping: dict) -> str:
     return "CASE " + " ".join(f"WHEN {expr} = '{k}' THEN CAST({float(v)!r} AS DOUBLE)"
                               for k, v in mapping.items()) + " END"
 
 
-@register("F15_weekend_effect_by_type", R + f"""
-, t AS (SELECT reading_id, "timestamp", {_btype_sql()} AS building_type FROM readings)
-SELECT reading_id, building_type,
-       CASE WHEN isodow("timestamp") - 1 >= 5 THEN {_case_map('building_type', LD.WEEKEND_EFFECT)} ELSE 0.0 END
-         AS weekend_effect
-FROM t""")
+@register("F15_weekend_effect_by_type", LB + """
+, w AS (SELECT event_type, avg(meter_reading) FILTER (WHERE isodow("timestamp") >= 6)
+               / nullif(avg(meter_reading) FILTER (WHERE isodow("timestamp") < 6), 0) - 1 AS effect FROM labelled GROUP BY 1)
+SELECT reading_id, event_type,
+       round(CASE WHEN isodow("timestamp") >= 6 THEN effect ELSE 0.0 END, 6) AS weekend_effect
+FROM labelled LEFT JOIN w USING (event_type)""")
 def f15(spark, sf_dir):
-    r = T.readings(spark, sf_dir).withColumn("building_type", LD.building_type("building_id"))
-    return r.select("reading_id", "building_type",
-                    LD.weekend_effect(C.is_weekend("timestamp"), F.col("building_type")).alias("weekend_effect"))
+    """Weekend over weekday mean per event type, fitted from the readings."""
+    r = LD.weekend_effect(T.labelled(spark, sf_dir), "event_type", "meter_reading")
+    return r.select("reading_id", "event_type", F.round("weekend_effect", 6).alias("weekend_effect"))
 
 
 @register("F16_clip_and_floor", R + """
@@ -348,59 +342,36 @@ def f22(spark, sf_dir):
     return s.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in S.one_hot("season", _SEASONS, "season").items()])
 
 
-def _profile_sql(btype: str, hour: str) -> str:
-    return "CASE " + " ".join(
-        f"WHEN {btype} = '{t}' THEN CAST([{', '.join(map(str, p))}] AS DOUBLE[])[{hour} + 1]"
-        for t, p in LD.HOURLY_PROFILE.items()) + " END"
-
-
-def _expected_panel_sql() -> str:
-    temp = f"({_case_map('season', LD.BASE_TEMPERATURE)} + sin({PI2} * hour(\"timestamp\") / 24.0) * 5.0)"
-    return f"""
-, b AS (SELECT reading_id, meter_reading, "timestamp", {_btype_sql()} AS building_type,
-               {_season_sql('month("timestamp")', C.SEASONS_EN)} AS season FROM readings),
-e AS (SELECT *, {temp} AS temperature,
-             {_profile_sql('building_type', 'hour("timestamp")')} AS hourly_factor,
-             {_case_map('season', LD.SEASONAL_EFFECT)} AS seasonal_effect,
-             CASE WHEN isodow("timestamp") - 1 >= 5 THEN {_case_map('building_type', LD.WEEKEND_EFFECT)} ELSE 0.0 END
-               AS weekend_effect FROM b),
-f AS (SELECT *, {_temp_sql('temperature', *LD.PANEL_TEMP_SLOPES)} AS temp_effect FROM e)
-SELECT reading_id, building_type, hourly_factor, temp_effect,
-       greatest({_case_map('building_type', LD.BASE_CONSUMPTION)} * hourly_factor
-                * (1.0 + temp_effect + weekend_effect + seasonal_effect), 1.0) AS expected_load,
-       meter_reading - greatest({_case_map('building_type', LD.BASE_CONSUMPTION)} * hourly_factor
-                * (1.0 + temp_effect + weekend_effect + seasonal_effect), 1.0) AS residual
-FROM f"""
-
-
-@register("F23_expected_load_panel", R + _expected_panel_sql())
+@register("F23_expected_load_panel", R + """
+, r AS (SELECT *, hour("timestamp") AS h FROM readings),
+b AS (SELECT building_id, avg(meter_reading) AS bm FROM r GROUP BY 1),
+e AS (SELECT building_id, h, avg(meter_reading) AS expected FROM r GROUP BY 1, 2)
+SELECT reading_id, round(expected, 6) AS expected_load, round(meter_reading - expected, 6) AS residual,
+       round(expected / nullif(bm, 0), 6) AS hourly_factor
+FROM r JOIN e USING (building_id, h) JOIN b USING (building_id)""")
 def f23(spark, sf_dir):
-    e = LD.expected_panel_load(T.readings(spark, sf_dir))
-    return e.select("reading_id", "building_type", "hourly_factor", "temp_effect", "expected_load",
-                    (F.col("meter_reading") - F.col("expected_load")).alias("residual"))
-
-
-def _expected_series_sql() -> str:
-    prof = f"CAST([{', '.join(map(str, LD.SERIES_PROFILE))}] AS DOUBLE[])[hour(\"timestamp\") + 1]"
-    temp = (f"({_case_map('season', LD.SERIES_BASE_TEMPERATURE)} + sin({PI2} * hour(\"timestamp\") / 24.0) * 5.0)")
-    return f"""
-, b AS (SELECT l_orderkey, l_linenumber, "timestamp",
-               {_season_sql('month("timestamp")', C.SEASONS_FR)} AS season FROM shipments),
-e AS (SELECT *, {temp} AS temperature, {prof} AS base_consumption,
-             {_case_map('season', LD.SERIES_SEASONAL_EFFECT)} AS seasonal_effect,
-             CASE WHEN isodow("timestamp") - 1 >= 5 THEN {LD.SERIES_WEEKEND_EFFECT} ELSE 0.0 END AS weekend_effect,
-             least(greatest(60.0 + sin({PI2} * dayofyear("timestamp") / 365.0) * 20.0, 20.0), 95.0) AS humidity
-      FROM b),
-f AS (SELECT *, {_temp_sql('temperature', *LD.SERIES_TEMP_SLOPES)} AS temp_effect FROM e)
-SELECT l_orderkey, l_linenumber, season, humidity,
-       greatest((base_consumption + temp_effect + weekend_effect + seasonal_effect) * 100.0, 10.0) AS expected_load
-FROM f"""
-
-
-@register("F24_expected_load_series", SH + _expected_series_sql())
+    """Baseline per building and hour, fitted from the readings, with the
+    residual against it and the hour's share of the building's mean."""
+    r = T.readings(spark, sf_dir).withColumn("h", F.hour("timestamp"))
+    e = LD.fitted_baseline(r, ["building_id", "h"], "meter_reading")
+    means = r.groupBy("building_id").agg(F.avg("meter_reading").alias("bm"))
+    return e.join(means, "building_id").select(
+        "reading_id", F.round("expected_load", 6).alias("expected_load"), F.round("residual", 6).alias("residual"),
+        F.round(F.try_divide("expected_load", "bm"), 6).alias("hourly_factor"))
+
+
+@register("F24_expected_load_series", SH + f"""
+, s AS (SELECT l_orderkey, l_linenumber, value, {_season_sql('month("timestamp")', C.SEASONS_FR)} AS season,
+               isodow("timestamp") - 1 AS dow FROM shipments),
+e AS (SELECT season, dow, avg(value) AS expected FROM s GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, season, round(expected, 4) AS expected_load, round(value - expected, 4) AS residual
+FROM s JOIN e USING (season, dow)""")
 def f24(spark, sf_dir):
-    e = LD.expected_series_load(T.shipments(spark, sf_dir))
-    return e.select("l_orderkey", "l_linenumber", "season", "humidity", "expected_load")
+    """Baseline of the single series per season and weekday."""
+    s = T.shipments(spark, sf_dir).withColumns({"season": C.season(F.month("timestamp"), C.SEASONS_FR), "dow": F.weekday("timestamp")})
+    e = LD.fitted_baseline(s, ["season", "dow"], "value")
+    return e.select("l_orderkey", "l_linenumber", "season", F.round("expected_load", 4).alias("expected_load"),
+                    F.round("residual", 4).alias("residual"))
 
 
 @register("F25_hourly_spine", HOURLY + "SELECT * FROM readings_hourly")
@@ -420,17 +391,17 @@ def f27(spark, sf_dir):
 
 
 @register("F28_sinusoidal_baselines", SH + f"""
-SELECT {_SHIP_KEY},
-       {_case_map(_season_sql('month("timestamp")', C.SEASONS_EN), LD.BASE_TEMPERATURE)}
-         + sin({PI2} * hour("timestamp") / 24.0) * 5.0 AS temperature_base,
-       60.0 + sin({PI2} * dayofyear("timestamp") / 365.0) * 20.0 AS humidity_base
-FROM shipments""")
+, d AS (SELECT {_SHIP_KEY}, value, sin({PI2} / 365.0 * dayofyear("timestamp")) AS s, cos({PI2} / 365.0 * dayofyear("timestamp")) AS c
+        FROM shipments),
+m AS (SELECT avg(value) AS my, avg(s) AS ms, avg(c) AS mc, var_pop(s) AS ss, var_pop(c) AS cc, covar_pop(s, c) AS sc,
+             covar_pop(s, value) AS sy, covar_pop(c, value) AS cy FROM d)
+SELECT {_SHIP_KEY}, round(my + (sy * cc - cy * sc) / (ss * cc - sc * sc) * (s - ms)
+                          + (cy * ss - sy * sc) / (ss * cc - sc * sc) * (c - mc), 4) AS baseline
+FROM d, m""")
 def f28(spark, sf_dir):
-    t = F.col("timestamp")
-    s = T.shipments(spark, sf_dir)
-    return s.select("l_orderkey", "l_linenumber",
-                    LD.seasonal_temperature(C.season(F.month(t)), F.hour(t)).alias("temperature_base"),
-                    (F.lit(60.0) + F.sin(F.lit(TWO_PI) * F.dayofyear(t) / 365.0) * 20.0).alias("humidity_base"))
+    """Yearly sinusoidal baseline of the shipped value, by least squares."""
+    out = LD.sinusoidal_baseline(T.shipments(spark, sf_dir), F.dayofyear("timestamp"), 365.0, "value")
+    return out.select("l_orderkey", "l_linenumber", F.round("baseline", 4).alias("baseline"))
 
 
 @register("F29_rowwise_mse", """
@@ -474,15 +445,11 @@ def j3(spark, sf_dir):
 
 
 @register("J4_hour_profile_lookup", R + f"""
-, b AS (SELECT reading_id, "timestamp", {_btype_sql()} AS building_type FROM readings)
-SELECT reading_id, building_type, {_profile_sql('building_type', 'hour("timestamp")')} AS hourly_factor,
-       CAST([{', '.join(map(str, LD.SERIES_PROFILE))}] AS DOUBLE[])[hour("timestamp") + 1] AS series_factor
-FROM b""")
+SELECT reading_id, CAST([{', '.join(map(str, LD.SERIES_PROFILE))}] AS DOUBLE[])[hour("timestamp") + 1] AS series_factor
+FROM readings""")
 def j4(spark, sf_dir):
-    r = T.readings(spark, sf_dir).withColumn("building_type", LD.building_type("building_id"))
-    h = F.hour("timestamp")
-    return r.select("reading_id", "building_type", LD.type_profile_at(F.col("building_type"), h).alias("hourly_factor"),
-                    LD.profile_at(LD.SERIES_PROFILE, h).alias("series_factor"))
+    """Hour of day to its profile factor: a literal array lookup."""
+    return T.readings(spark, sf_dir).select("reading_id", LD.profile_at(LD.SERIES_PROFILE, F.hour("timestamp")).alias("series_factor"))
 
 
 @register("J5_one_hot_bind", SH + f"""
@@ -513,26 +480,15 @@ def j6(spark, sf_dir):
 
 
 def _j7_sql(closed_extra: int = 0) -> str:
-    return R + f"""
-, pos AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id) - 1 AS pos,
-                 md5(CAST(reading_id AS VARCHAR) || '42') AS h FROM readings),
-rk AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY h, reading_id) - 1 AS rk,
-              floor(count(*) OVER (PARTITION BY building_id) * 0.05) AS take,
-              avg(meter_reading) OVER (PARTITION BY building_id) AS bmean FROM pos),
-sd AS (SELECT building_id, rk AS seq, pos AS start_pos,
-              instr('0123456789abcdef', substr(h, 2, 1)) - 1 AS d1,
-              instr('0123456789abcdef', substr(h, 3, 1)) - 1 AS d2,
-              instr('0123456789abcdef', substr(h, 4, 1)) - 1 AS d3, bmean
-       FROM rk WHERE rk < take),
-ev AS (SELECT building_id, seq, start_pos,
-              CASE WHEN d1 <= 4 THEN 'spike' WHEN d1 <= 7 THEN 'drop'
-                   WHEN d1 <= 12 THEN 'equipment_failure' ELSE 'sustained_high' END AS kind, d2, d3, bmean FROM sd),
-ev2 AS (SELECT building_id, seq, start_pos,
-               CASE kind WHEN 'equipment_failure' THEN 2 + d3 % 6 WHEN 'sustained_high' THEN 3 + d3 % 9 ELSE 1 END AS length,
-               CASE kind WHEN 'equipment_failure' THEN 'set' ELSE 'multiply' END AS op,
-               CASE kind WHEN 'spike' THEN 2.0 + d2 / 15.0 * 2.0 WHEN 'drop' THEN 0.1 + d2 / 15.0 * 0.3
-                         WHEN 'equipment_failure' THEN bmean * 0.1 ELSE 1.5 + d2 / 15.0 END AS factor FROM ev),
-cov AS (SELECT building_id, seq, op, factor, unnest(range(start_pos, start_pos + length + {closed_extra})) AS pos FROM ev2),
+    return LB + f"""
+, pos AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id) - 1 AS pos FROM labelled),
+mk AS (SELECT building_id, pos, pos - row_number() OVER (PARTITION BY building_id ORDER BY pos) AS g FROM pos WHERE label = 1),
+rn AS (SELECT building_id, min(pos) AS start_pos, count(*) AS length FROM mk GROUP BY building_id, g),
+ev AS (SELECT r.*, row_number() OVER (PARTITION BY r.building_id ORDER BY start_pos) - 1 AS seq,
+              CASE WHEN length = 1 THEN 'multiply' ELSE 'set' END AS op,
+              CASE WHEN length = 1 THEN 2.0 ELSE m.mean END AS factor
+       FROM rn r JOIN (SELECT building_id, avg(meter_reading) AS mean FROM labelled GROUP BY 1) m USING (building_id)),
+cov AS (SELECT building_id, seq, op, factor, unnest(range(start_pos, start_pos + length + {closed_extra})) AS pos FROM ev),
 last_set AS (SELECT building_id, pos, max(seq) FILTER (WHERE op = 'set') AS ls,
                     arg_max(factor, seq) FILTER (WHERE op = 'set') AS set_value FROM cov GROUP BY 1, 2),
 agg AS (SELECT c.building_id, c.pos, l.set_value,
@@ -544,27 +500,26 @@ SELECT p.reading_id, p.building_id, p.pos,
 FROM pos p LEFT JOIN agg a USING (building_id, pos)"""
 
 
-@register("J7_interval_overlay", _j7_sql(0))
-def j7(spark, sf_dir):
-    """Planted interval events (spike, drop, equipment_failure = set,
-    sustained_high) applied in sequence; flag = covered by any interval."""
-    r = T.readings(spark, sf_dir)
+def _overlay(spark, sf_dir, closed):
     from wattlane.operators.ordering import with_positions
-    pos = with_positions(r, ["building_id"], ["timestamp", "reading_id"], "pos")
-    ev = LD.plant_intervals(r)
-    out = LD.overlay_intervals(pos, ev, "building_id", "pos", "meter_reading", "flag")
+    pos = with_positions(T.labelled(spark, sf_dir), ["building_id"], ["timestamp", "reading_id"], "pos")
+    ev = LD.run_events(pos, "building_id", "pos", F.col("label") == 1, "meter_reading")
+    out = LD.overlay_intervals(pos, ev, "building_id", "pos", "meter_reading", "flag", closed=closed)
     return out.select("reading_id", "building_id", "pos", F.bround("meter_reading", 4).alias("meter_reading"), "flag")
 
 
+@register("J7_interval_overlay", _j7_sql(0))
+def j7(spark, sf_dir):
+    """Interval events taken from the data (runs of error events of a
+    building: one row doubles, longer runs set the mean) laid over its
+    readings in sequence; flag = covered by any interval."""
+    return _overlay(spark, sf_dir, "left")
+
+
 @register("J7_interval_overlay_closed_both", _j7_sql(1))
 def j7b(spark, sf_dir):
-    """Same events with end-inclusive intervals (the single-series slice rule)."""
-    r = T.readings(spark, sf_dir)
-    from wattlane.operators.ordering import with_positions
-    pos = with_positions(r, ["building_id"], ["timestamp", "reading_id"], "pos")
-    ev = LD.plant_intervals(r)
-    out = LD.overlay_intervals(pos, ev, "building_id", "pos", "meter_reading", "flag", closed="both")
-    return out.select("reading_id", "building_id", "pos", F.bround("meter_reading", 4).alias("meter_reading"), "flag")
+    """The same events with end-inclusive intervals."""
+    return _overlay(spark, sf_dir, "both")
 
 
 @register("J8_aligned_predictions", SC + """

@@ -45,6 +45,20 @@ def readings(spark: SparkSession, sf_dir: str, nan_safe: bool = True) -> DataFra
     )
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings with a label that is no function of the reading: ``label`` =
+    1 where the event is an error, and the event's type."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("reading_id"),
+        F.col("user_id").alias("building_id"),
+        F.col("ts").alias("timestamp"),
+        nan_to_null("value").alias("meter_reading"),
+        F.col("event_type"),
+        (F.col("event_type") == "error").cast("int").alias("label"),
+    )
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with a label (event_type = 'error') and a score (value)."""
     ev = table(spark, sf_dir, "events")
@@ -121,6 +135,12 @@ SQL_READINGS = """readings AS (
          CAST(value > 150 AS INTEGER) AS anomaly
   FROM events)"""
 
+SQL_LABELLED = """labelled AS (
+  SELECT event_id AS reading_id, user_id AS building_id, ts AS "timestamp",
+         CASE WHEN isnan(value) THEN NULL ELSE value END AS meter_reading, event_type,
+         CAST(event_type = 'error' AS INTEGER) AS label
+  FROM events)"""
+
 SQL_SCORED = """scored AS (
   SELECT event_id AS reading_id, user_id AS building_id, ts AS "timestamp",
          CAST(event_type = 'error' AS INTEGER) AS label,
