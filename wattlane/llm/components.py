@@ -7,6 +7,7 @@ group; every round's links are written to the scratch folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,20 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     return (links.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of the component of each of n nodes under links a-b
+    (hooking on the smaller root, then pointer jumping)."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
+        if (lo == hi).all():
+            return root
+        np.minimum.at(root, hi, lo)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up

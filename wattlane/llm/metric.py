@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import stage
-from wattlane.llm.components import components
+from wattlane.llm.components import components, roots
 
 THRESHOLD = 0.9
 PIVOTS = (1, 4, 16, 64)
@@ -124,23 +124,6 @@ def _assign(pivots: np.ndarray, radius: float):
     return run
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of the component of each of n nodes under links a-b
-    (hooking on the smaller root, then pointer jumping)."""
-    root = np.arange(n)
-    while True:
-        ra, rb = root[a], root[b]
-        lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
-        if (lo == hi).all():
-            return root
-        np.minimum.at(root, hi, lo)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-
-
 def link_block(x: np.ndarray, y: np.ndarray, same: np.ndarray, weight: np.ndarray, threshold: float):
     """Rows x against rows y (unit vectors; same[i] is x's row in y or -1).
 
@@ -188,7 +171,7 @@ def link_block(x: np.ndarray, y: np.ndarray, same: np.ndarray, weight: np.ndarra
                 u, v = u[ok], v[ok]
             counts[r] += np.bincount(u, weight[cols[v]], len(r)).astype(np.int64)
             if len(u) > 4 * (len(r) + len(cols)):  # dense: a spanning forest is enough
-                root = _roots(len(r) + len(cols), u, len(r) + v)
+                root = roots(len(r) + len(cols), u, len(r) + v)
                 u, v = np.arange(len(root)), root
                 names = np.concatenate([r, len(x) + cols])
                 a.append(names[u])
@@ -219,7 +202,7 @@ def _join_cell(threshold: float):
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        root = ids[order][_roots(len(ids), place[a], place[b])][place[:len(xi)]]
+        root = ids[order][roots(len(ids), place[a], place[b])][place[:len(xi)]]
         busy = (counts > 0) | (root != xi)
         return pa.table([pa.array(xi[busy]), pa.array(counts[busy]), pa.array(root[busy])], names=["rep", "links", "root"])
     return run
