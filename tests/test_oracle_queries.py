@@ -1,5 +1,6 @@
-"""Every registered query with a SQL twin matches DuckDB (sf0.001); every
-query without one runs. The driver repeats the SQL check at sf0.01."""
+"""Every registered query with a SQL twin matches DuckDB (sf0.001); what the
+others must fulfil is in tests/test_models.py. The driver repeats the SQL
+check at sf0.01."""
 
 import pytest
 
@@ -22,9 +23,10 @@ def test_query_matches_duckdb(spark, con, name):
     assert info["ok"], info
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF_SMALL).count() >= 0
+def test_every_query_is_checked():
+    from tests.test_models import PROPERTIES
+    from wattlane.plans.catalog import queries
+    assert set(queries()) - set(SQL) == set(PROPERTIES)
 
 
 def test_entry_smoke(spark):

@@ -19,7 +19,6 @@ score: an Arrow ``pandas_udf`` walks all trees for a batch of rows at
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
@@ -30,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField, StructType)
 
 from wattlane.operators.ordering import quantiles
-from wattlane.session import ship_package
+from wattlane.session import materialize, ship_package
+from wattlane.sources.files import load_meta, save_meta
 
 EULER = 0.5772156649
 
@@ -140,14 +140,12 @@ class IsolationForestModel:
     # -- persistence -----------------------------------------------------------
     def save(self, spark: SparkSession, path: str) -> str:
         spark.createDataFrame(self.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
-        meta = {"features": self.features, "psi": self.psi, "threshold": self.threshold,
-                "contamination": self.contamination}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").json(f"{path}/meta")
-        return path
+        return save_meta(spark, path, {"features": self.features, "psi": self.psi, "threshold": self.threshold,
+                                       "contamination": self.contamination})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "IsolationForestModel":
-        meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+        meta = load_meta(spark, path)
         nodes = spark.read.parquet(f"{path}/nodes").toPandas()
         return cls(nodes, meta["features"], meta["psi"], meta["threshold"], meta["contamination"])
 
@@ -180,7 +178,8 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str, n_tre
              .toPandas())
     model = IsolationForestModel(nodes, features, psi, None, contamination or 0.0)
     if contamination:
-        scored = model.transform(df.select(*features))
+        # every row goes through the trees once; the quantile reads scores
+        scored = materialize(model.transform(df.select(*features)).select("score"), "iso-scores")
         model.threshold = float(quantiles(scored, "score", [1.0 - contamination], [], ["t"])
                                 .first()["t"])
     return model

@@ -1,65 +1,79 @@
-"""One interface over all detectors: fit on training rows, then
-``score(df) -> key, score, prediction`` (higher score = more anomalous),
-and a train-and-evaluate loop that shares one cached feature table."""
+"""One interface over all detectors: fit on training rows, score by model
+name with an optional threshold, save and load, and the train-and-evaluate
+loop. Higher score = more anomalous. Scores are staged once per detector;
+thresholds, metrics and curves read the staged scores.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattlane.operators.detect.isolation import fit_isolation_forest
-from wattlane.operators.detect.lof import fit_lof
-from wattlane.operators.detect.oneclass import fit_one_class
-from wattlane.operators.detect.pca import fit_reconstruction
+from wattlane.operators.detect.isolation import IsolationForestModel, fit_isolation_forest
+from wattlane.operators.detect.lof import LOFModel, fit_lof
+from wattlane.operators.detect.oneclass import OneClassRFF, fit_one_class
+from wattlane.operators.detect.pca import PCAReconstruction, fit_reconstruction
 from wattlane.operators.evaluate import evaluate
+from wattlane.operators.quality import Scaler
+from wattlane.session import materialize, path_exists
 
+DETECTORS: dict[str, Callable] = {
+    "isolation_forest": lambda train, features, key: fit_isolation_forest(train, features, key, n_trees=100, max_samples=256, contamination=0.1),
+    "lof": lambda train, features, key: fit_lof(train, features, key, k=20, contamination=0.1),
+    "one_class_rff": lambda train, features, key: fit_one_class(train, features, nu=0.1),
+    "pca_reconstruction": lambda train, features, key: fit_reconstruction(train, features, k=3),
+}
 
-def _iso(train, features, key):
-    return fit_isolation_forest(train, features, key, n_trees=100, max_samples=256, contamination=0.1)
-
-
-def _ocs(train, features, key):
-    return fit_one_class(train, features, nu=0.1)
-
-
-def _rec(train, features, key):
-    return fit_reconstruction(train, features, k=3)
+KINDS = {"isolation_forest": IsolationForestModel, "lof": LOFModel, "one_class_rff": OneClassRFF,
+         "pca_reconstruction": PCAReconstruction, "scaler": Scaler}
 
 
-def _lof(train, features, key):
-    return fit_lof(train, features, key, k=20, contamination=0.1)
+def fit_all(train: DataFrame, features: Sequence[str], key: str, names: Sequence[str] | None = None) -> dict:
+    """name -> fitted detector."""
+    train = materialize(train.select(key, *features), "detector-train")
+    return {n: DETECTORS[n](train, list(features), key) for n in names or DETECTORS}
 
 
-DETECTORS: dict[str, Callable] = {
-    "isolation_forest": _iso,
-    "lof": _lof,
-    "one_class_rff": _ocs,
-    "pca_reconstruction": _rec,
-}
-
-# The three one-pass detectors; LOF's neighbour search is the slow member.
-FAST = ("isolation_forest", "one_class_rff", "pca_reconstruction")
+def predict(models: dict, name: str, df: DataFrame, key: str, label: str | None = "label",
+            threshold: float | None = None) -> DataFrame:
+    """key, [label,] score, prediction of the named model (staged). Without
+    a threshold the model's own rule decides; with one, score > threshold."""
+    if name not in models:
+        raise KeyError(f"no model named {name!r}; there are {sorted(models)}")
+    out = models[name].transform(df)
+    if threshold is not None:
+        out = out.withColumn("prediction", (F.col("score") > F.lit(float(threshold))).cast("int"))
+    cols = [key] + ([label] if label and label in df.columns else []) + ["score", "prediction"]
+    return materialize(out.select(*cols), f"scored-{name}")
 
 
 def score(model, df: DataFrame, key: str, label: str | None = "label") -> DataFrame:
-    """key, [label,] score, prediction for any fitted detector."""
-    out = model.transform(df)
-    cols = [key] + ([label] if label and label in df.columns else []) + ["score", "prediction"]
-    return out.select(*cols)
+    """``predict`` for one model at hand."""
+    return predict({"model": model}, "model", df, key, label)
 
 
 def train_all(train_normal: DataFrame, test: DataFrame, features: Sequence[str], key: str,
               label: str = "label", names: Sequence[str] | None = None):
     """Fit each detector on the normal training rows, score the test rows,
     evaluate. Returns (metrics DataFrame, {name: scored DataFrame})."""
-    train_normal = train_normal.select(key, *features).persist()
-    scored = {}
+    models = fit_all(train_normal, features, key, names)
+    scored = {n: predict(models, n, test, key, label) for n in models}
     metrics = None
-    for name in names or DETECTORS:
-        model = DETECTORS[name](train_normal, list(features), key)
-        s = score(model, test, key, label)
-        scored[name] = s
-        m = evaluate(s, name, label)
+    for n, s in scored.items():
+        m = evaluate(s, n, label)
         metrics = m if metrics is None else metrics.unionByName(m)
     return metrics, scored
+
+
+def save_all(spark: SparkSession, models: dict, path: str) -> str:
+    """Every model (and scaler) under ``path/<name>``."""
+    for name, model in models.items():
+        model.save(spark, f"{path}/{name}")
+    return path
+
+
+def load_all(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> dict:
+    """The models that are there; absent ones are skipped."""
+    return {n: KINDS[n].load(spark, f"{path}/{n}") for n in names or KINDS if path_exists(spark, f"{path}/{n}")}

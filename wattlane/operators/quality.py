@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattlane.sources.files import load_meta, save_meta
+
 from wattlane.operators.ordering import column_quantiles, median, quantiles, row_literals
 
 
@@ -131,6 +133,30 @@ def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
     return df.withColumns(out)
 
 
+class Scaler:
+    """The statistics of ``standardize`` as a model: fit once, apply to any
+    table, save and load."""
+
+    def __init__(self, means: dict, stds: dict):
+        self.means, self.stds = means, stds
+
+    @classmethod
+    def fit(cls, df: DataFrame, cols: Sequence[str]) -> "Scaler":
+        r = df.select(*[x for c in cols for x in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))]).first()
+        return cls({c: r[f"{c}__m"] for c in cols}, {c: r[f"{c}__s"] for c in cols})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: (F.col(c) - F.lit(self.means[c]).cast("double")) / F.lit(float(self.stds[c] or 1.0)) for c in self.means})
+
+    def save(self, spark, path: str) -> str:
+        return save_meta(spark, path, {"means": self.means, "stds": self.stds})
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Scaler":
+        m = load_meta(spark, path)
+        return cls(m["means"], m["stds"])
+
+
 def ratio_to_mean(x: Column, mean: Column) -> Column:
     """x / mean with pandas' fill: NULL operand or 0/0 -> 1.0, x/0 -> +-inf."""
     inf = F.when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))

@@ -26,8 +26,8 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
     pos = with_positions(d, [label], ["_h", key], "_rk")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     take = counts.select(label, F.round(F.lit(test_size) * F.col("_n")).cast("long").alias("_take"))
-    # one row per class: bounded by the label domain, safe to broadcast
-    out = pos.join(F.broadcast(take), [label], "left")
+    # any column can be a label: AQE broadcasts the counts where they are small
+    out = pos.join(take, [label], "left")
     return out.withColumn(name, (F.col("_rk") < F.col("_take")).cast("int")).drop("_h", "_rk", "_take")
 
 

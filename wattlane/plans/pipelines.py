@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.functions.calendar import add_calendar, cyclic
@@ -19,12 +19,14 @@ from wattlane.session import materialize
 
 
 def preprocess_script(df: DataFrame, value: str = "meter_reading", key: str = "building_id",
-                      ts: str = "timestamp") -> DataFrame:
+                      ts: str = "timestamp", stats_rows: Column | None = None) -> DataFrame:
     """Script variant: calendar parts incl. minute, month/hour cycles,
-    median imputation, per-building stats joined back, consumption ratio."""
+    median imputation, per-building stats joined back, consumption ratio.
+    ``stats_rows`` restricts the rows that the building stats are taken
+    from (the training part, say)."""
     out = add_calendar(df, ts, minute=True, day_cycle=False)
     out = impute_median(out, value, key)
-    stats = building_stats(out, value, key, "building_")
+    stats = building_stats(out if stats_rows is None else out.where(stats_rows), value, key, "building_")
     out = out.join(stats, [key], "left")   # small side: AQE broadcasts by measured size
     return out.withColumn("consumption_ratio", ratio_to_mean(F.col(value), F.col("building_mean")))
 
@@ -98,22 +100,26 @@ def flagship(spark, sf_dir: str) -> DataFrame:
         F.count("meter_reading_rolling_mean_24").alias("full_windows"))
 
 
-EXCLUDE = ("anomaly", "timestamp", "building_id", "reading_id")
+EXCLUDE = ("anomaly", "timestamp", "building_id", "reading_id", "is_validation")
 
 
 def supervised_frame(spark, sf_dir: str, fill: str = "mean"):
     """Script-variant features of the labelled panel, NULLs filled with the
-    column mean (``fill='mean'``) or 0 (``'zero'``), and the stratified 80/20
-    split. Returns (frame with is_validation, feature names)."""
+    training part's column mean (``fill='mean'``) or 0 (``'zero'``), and the
+    stratified 80/20 split. The label (``anomaly``) is the error event, which
+    is no function of the features; building stats come from training rows
+    only. Returns (frame with is_validation, feature names)."""
     from wattlane.operators.quality import fill_mean, fill_zero
     from wattlane.operators.split import stratified_split
-    from wattlane.sources.tables import readings
+    from wattlane.sources.tables import labelled
 
-    f = preprocess_script(readings(spark, sf_dir))
+    r = labelled(spark, sf_dir).drop("event_type").withColumnRenamed("label", "anomaly")
+    train = F.col("is_validation") == 0
+    f = preprocess_script(stratified_split(r, "anomaly", "reading_id", 0.2, 42), stats_rows=train)
     feats = X.numeric_columns(f, EXCLUDE)
-    f = fill_mean(f, feats) if fill == "mean" else fill_zero(f, feats)
+    f = fill_mean(f, feats, stats_from=f.where(train)) if fill == "mean" else fill_zero(f, feats)
     # Written once: the model fit makes many passes over it.
-    return materialize(stratified_split(f, "anomaly", "reading_id", 0.2, 42), "supervised"), feats
+    return materialize(f, "supervised"), feats
 
 
 DETECTOR_FEATURES = ("meter_reading", "hour_sin", "hour_cos", "day_sin", "day_cos", "is_weekend",
@@ -122,27 +128,17 @@ DETECTOR_FEATURES = ("meter_reading", "hour_sin", "hour_cos", "day_sin", "day_co
 
 
 def detector_frame(spark, sf_dir: str):
-    """Planted-interval panel for judging detectors: readings with interval
-    events overlaid (label = covered by an event), lag / rolling features on
-    the overlaid reading, chronological 80/20 split; features standardised
-    with the training part's statistics (population std).
-    Returns (train_normal, test, feature names)."""
-    from wattlane.operators import load as LD
-    from wattlane.operators.ordering import with_positions
-    from wattlane.operators.quality import fill_zero, standardize
+    """Panel for judging detectors: lag / rolling features of the readings,
+    chronological 80/20 split, standardised with the training part's
+    statistics (population std). The label is the error event: no feature
+    is derived from it. Returns (train_normal, test, feature names)."""
+    from wattlane.operators.quality import Scaler, fill_zero
     from wattlane.operators.windows import chronological_split
-    from wattlane.sources.tables import readings
+    from wattlane.sources.tables import labelled
 
-    r = readings(spark, sf_dir)
-    pos = with_positions(r, ["building_id"], ["timestamp", "reading_id"], "pos")
-    over = LD.overlay_intervals(pos, LD.plant_intervals(r), "building_id", "pos", "meter_reading", "label")
-    feats = additional_features(over.drop("pos"))
-    feats = fill_zero(feats, list(DETECTOR_FEATURES))
-    sp = chronological_split(feats, ["timestamp", "building_id", "reading_id"], 0.2, "is_test")
-    train, test = sp.where("is_test = 0"), sp.where("is_test = 1")
     cols = list(DETECTOR_FEATURES)
-    sp = materialize(sp, "detector-split")
-    train, test = sp.where("is_test = 0"), sp.where("is_test = 1")
-    z_train = standardize(train, cols, fit_on=train)
-    z_test = standardize(test, cols, fit_on=train)
-    return z_train.where("label = 0"), z_test, cols
+    feats = fill_zero(additional_features(labelled(spark, sf_dir)), cols)
+    sp = materialize(chronological_split(feats, ["timestamp", "building_id", "reading_id"], 0.2, "is_test"), "detector-split")
+    train = sp.where("is_test = 0")
+    z = Scaler.fit(train, cols).transform(sp)
+    return z.where("is_test = 0 AND label = 0"), z.where("is_test = 1"), cols

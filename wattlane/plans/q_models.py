@@ -1,8 +1,8 @@
 """Learned detectors.
 
-Model outputs depend on random draws, so these queries are checked by row
-counts and by property tests (tests/test_models.py), not by SQL twins --
-except where the post-processing is exact (marked in the docstrings).
+Model outputs depend on random draws, so most queries here have no SQL
+twin; tests/test_models.py states what must hold for each. Nothing is kept
+between queries: each fits what it needs in its own session.
 """
 
 from __future__ import annotations
@@ -10,42 +10,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattlane.operators.detect import forest as RF
-from wattlane.operators.detect.isolation import IsolationForestModel, fit_isolation_forest
+from wattlane.operators.detect.isolation import fit_isolation_forest
 from wattlane.operators.detect.oneclass import fit_one_class
 from wattlane.operators.detect.pca import fit_reconstruction, pca_view
-from wattlane.operators.detect.scorer import score, train_all
+from wattlane.operators.detect.scorer import DETECTORS, fit_all, load_all, predict, save_all, score, train_all
 from wattlane.operators.evaluate import detected_rate, evaluate
 from wattlane.operators.explore import numeric_columns
+from wattlane.operators.quality import Scaler
 from wattlane.plans.catalog import register
 from wattlane.plans.pipelines import detector_frame, supervised_frame
-from wattlane.session import scratch_path
+from wattlane.session import materialize, scratch_path
 from wattlane.sources import tables as T
 
-_CACHE: dict = {}
-
 
 def _forest(spark, sf_dir):
-    k = ("rf", sf_dir)
-    if k not in _CACHE:
-        f, feats = supervised_frame(spark, sf_dir, "mean")
-        train, val = f.where("is_validation = 0"), f.where("is_validation = 1")
-        model = RF.fit_random_forest(train, feats, "anomaly")
-        _CACHE[k] = (model, feats, val)
-    return _CACHE[k]
+    f, feats = supervised_frame(spark, sf_dir, "mean")
+    train, val = f.where("is_validation = 0"), f.where("is_validation = 1")
+    return RF.fit_random_forest(train, feats, "anomaly"), feats, val
 
 
 @register("M1_random_forest_validation")
 def m1(spark, sf_dir):
     """Random forest (100 trees, depth 10, sqrt, balanced, seed 42) on the
     stratified split; validation rows with prediction and P(anomaly)."""
-    model, feats, val = _forest(spark, sf_dir)
+    model, _, val = _forest(spark, sf_dir)
     return RF.predict_forest(model, val).select("reading_id", "anomaly", "prediction", "score")
 
 
 @register("M1_random_forest_metrics")
 def m1m(spark, sf_dir):
-    model, feats, val = _forest(spark, sf_dir)
-    return evaluate(RF.predict_forest(model, val), "random_forest", "anomaly")
+    return evaluate(materialize(m1(spark, sf_dir), "forest-scores"), "random_forest", "anomaly")
 
 
 @register("M2_feature_importance")
@@ -66,50 +60,43 @@ def l4(spark, sf_dir):
 
 @register("P14_positive_class_probability")
 def p14(spark, sf_dir):
-    model, feats, val = _forest(spark, sf_dir)
-    return RF.predict_forest(model, val).select("reading_id", F.col("score").alias("p_anomaly"))
+    return m1(spark, sf_dir).select("reading_id", F.col("score").alias("p_anomaly"))
 
 
 def _iso_fit(spark, sf_dir):
-    k = ("iso", sf_dir)
-    if k not in _CACHE:
-        train_n, test, feats = detector_frame(spark, sf_dir)
-        _CACHE[k] = (fit_isolation_forest(train_n, feats, "reading_id", 100, 256, 0.1), train_n, test, feats)
-    return _CACHE[k]
+    train_n, test, feats = detector_frame(spark, sf_dir)
+    return fit_isolation_forest(train_n, feats, "reading_id", 100, 256, 0.1), test
 
 
 @register("M3_isolation_forest_fit")
 def m3(spark, sf_dir):
     """Node table of the fitted forest (100 trees, 256 samples, height 8)."""
-    model, *_ = _iso_fit(spark, sf_dir)
-    return spark.createDataFrame(model.nodes)
+    return spark.createDataFrame(_iso_fit(spark, sf_dir)[0].nodes)
 
 
 @register("M4_isolation_forest_score")
 def m4(spark, sf_dir):
     """Test rows scored; anomaly when the score exceeds the training
     90th percentile (contamination 0.1)."""
-    model, _, test, _ = _iso_fit(spark, sf_dir)
+    model, test = _iso_fit(spark, sf_dir)
     return score(model, test, "reading_id", "label")
 
 
 @register("M5_isolation_forest_unlabelled")
 def m5(spark, sf_dir):
     """Unsupervised: fit on all standardised readings, detected rate %."""
-    from wattlane.operators.quality import standardize
-    r = T.readings(spark, sf_dir).withColumns({"hour": F.hour("timestamp"),
-                                               "dow": F.weekday("timestamp")})
+    r = T.readings(spark, sf_dir).withColumns({"hour": F.hour("timestamp"), "dow": F.weekday("timestamp")})
     cols = ["meter_reading", "hour", "dow"]
-    z = standardize(r, cols)
+    z = materialize(Scaler.fit(r, cols).transform(r).select("reading_id", *cols), "scaled")
     model = fit_isolation_forest(z, cols, "reading_id", 100, 256, 0.1)
     return model.transform(z).select(detected_rate().alias("detected_pct"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("M7_one_class_rff")
 def m7(spark, sf_dir):
+    """One-class boundary on random Fourier features (nu = 0.1)."""
     train_n, test, feats = detector_frame(spark, sf_dir)
-    model = fit_one_class(train_n, feats, nu=0.1)
-    return score(model, test, "reading_id", "label")
+    return score(fit_one_class(train_n, feats, nu=0.1), test, "reading_id", "label")
 
 
 @register("M8_pca_reconstruction")
@@ -117,60 +104,54 @@ def m8(spark, sf_dir):
     """MSE of a 3-component linear reconstruction; anomaly above the 95th
     percentile of the scored rows (strict)."""
     train_n, test, feats = detector_frame(spark, sf_dir)
-    model = fit_reconstruction(train_n, feats, k=3)
-    return score(model, test, "reading_id", "label")
+    return score(fit_reconstruction(train_n, feats, k=3), test, "reading_id", "label")
 
 
 @register("M9_generic_scorer")
 def m9(spark, sf_dir):
-    """Every detector through one scorer interface, stacked."""
+    """Every detector scored by name, with its own rule."""
     train_n, test, feats = detector_frame(spark, sf_dir)
+    models = fit_all(train_n, feats, "reading_id")
     out = None
-    for name, fit in (("one_class_rff", lambda: fit_one_class(train_n, feats)),
-                      ("pca_reconstruction", lambda: fit_reconstruction(train_n, feats))):
-        s = score(fit(), test, "reading_id", "label").withColumn("model", F.lit(name))
+    for name in DETECTORS:
+        s = predict(models, name, test, "reading_id").withColumn("model", F.lit(name))
         out = s if out is None else out.unionByName(s)
     return out
 
 
-@register("M10_pca_view")
-def m10(spark, sf_dir):
-    """Two principal components of the standardised numeric columns."""
+def _pca_rows(spark, sf_dir):
     from wattlane.functions.calendar import add_calendar
     r = add_calendar(T.readings(spark, sf_dir), minute=True)
-    cols = [c for c in numeric_columns(r) if c not in ("reading_id", "year", "month", "minute")]
-    rows, var = pca_view(r, cols, 2, keep=["reading_id", "anomaly"])
-    return rows
+    cols = [c for c in numeric_columns(r) if c != "reading_id"]
+    return pca_view(r, cols, 2, keep=["reading_id", "anomaly"])
+
+
+@register("M10_pca_view")
+def m10(spark, sf_dir):
+    """Two principal components of all standardised numeric columns
+    (constant ones standardise to 0)."""
+    return _pca_rows(spark, sf_dir)[0]
 
 
 @register("M10_pca_explained_variance")
 def m10v(spark, sf_dir):
-    from wattlane.functions.calendar import add_calendar
-    r = add_calendar(T.readings(spark, sf_dir), minute=True)
-    cols = [c for c in numeric_columns(r) if c not in ("reading_id", "year", "month", "minute")]
-    return pca_view(r, cols, 2, keep=["reading_id"])[1]
+    return _pca_rows(spark, sf_dir)[1]
 
 
 def _all(spark, sf_dir):
-    k = ("all", sf_dir)
-    if k not in _CACHE:
-        train_n, test, feats = detector_frame(spark, sf_dir)
-        _CACHE[k] = train_all(train_n, test, feats, "reading_id", "label")
-    return _CACHE[k]
+    train_n, test, feats = detector_frame(spark, sf_dir)
+    return train_all(train_n, test, feats, "reading_id", "label")
 
 
 @register("M12_train_evaluate_all")
 def m12(spark, sf_dir):
-    """Isolation forest, one-class (RFF) and PCA reconstruction trained on
-    the normal rows of the same chronological split, evaluated on the test
-    part against planted intervals."""
+    """All four detectors trained on the normal rows of the same
+    chronological split, evaluated on the test part against error events."""
     return _all(spark, sf_dir)[0]
 
 
-@register("M15_prediction_overlay")
-def m15(spark, sf_dir):
-    """Predicted-positive test rows of each detector with its F1."""
-    metrics, scored = _all(spark, sf_dir)
+def overlay(metrics, scored):
+    """Predicted-positive rows of each detector with its F1."""
     out = None
     for name, s in scored.items():
         rows = s.where("prediction = 1").withColumn("model", F.lit(name))
@@ -178,21 +159,46 @@ def m15(spark, sf_dir):
     return out.join(metrics.select("model", "f1_score"), "model", "left")
 
 
-@register("S8_S9_model_persistence")
+@register("M15_prediction_overlay")
+def m15(spark, sf_dir):
+    """Predicted-positive test rows of each detector with its F1."""
+    return overlay(*_all(spark, sf_dir))
+
+
+_ROUND_TRIP_SQL = """
+SELECT model, CAST(0 AS BIGINT) AS mismatches, (SELECT count(*) FROM events) AS n_rows
+FROM (VALUES ('isolation_forest'), ('lof'), ('one_class_rff'), ('pca_reconstruction'), ('random_forest')) t(model)"""
+
+
+@register("S8_S9_model_persistence", _ROUND_TRIP_SQL)
 def s8(spark, sf_dir):
-    """Save the forest pipeline and the isolation forest to the scratch
-    folder, load them back (absent ones skipped) and score with the loaded
-    models."""
+    """All models saved, loaded and compared on every reading: rows whose
+    score or prediction differs between the fitted and the loaded model."""
     from wattlane.sources.files import load_models, save_model
-    model, feats, val = _forest(spark, sf_dir)
-    rf_path = save_model(model, scratch_path(spark, "rf-model"))
-    iso, _, test, _ = _iso_fit(spark, sf_dir)
-    iso_path = iso.save(spark, scratch_path(spark, "iso-model"))
-    loaded = load_models(spark, {"rf": rf_path, "missing": scratch_path(spark, "absent-model")})
-    iso2 = IsolationForestModel.load(spark, iso_path)
-    a = RF.predict_forest(loaded["rf"], val).select(F.lit("random_forest").alias("model"), "reading_id", "prediction")
-    b = iso2.transform(test).select(F.lit("isolation_forest").alias("model"), "reading_id", "prediction")
-    return a.unionByName(b)
+    train_n, _, feats = detector_frame(spark, sf_dir)
+    every = materialize(_every_row(spark, sf_dir), "readings")
+    models = fit_all(train_n, feats, "reading_id")
+    loaded = load_all(spark, save_all(spark, models, scratch_path(spark, "models")))
+    forest, _, _ = _forest(spark, sf_dir)
+    frame, _ = supervised_frame(spark, sf_dir, "mean")
+    path = save_model(forest, scratch_path(spark, "forest"))
+    back = load_models(spark, {"rf": path, "absent": scratch_path(spark, "absent")})["rf"]
+    pairs = {n: (predict(models, n, every, "reading_id"), predict(loaded, n, every, "reading_id")) for n in DETECTORS}
+    pairs["random_forest"] = (RF.predict_forest(forest, frame), RF.predict_forest(back, frame))
+    out = None
+    for name, (a, b) in pairs.items():
+        b = b.select("reading_id", F.col("score").alias("_s"), F.col("prediction").alias("_p"))
+        differs = ~(F.col("score").eqNullSafe(F.col("_s")) & F.col("prediction").eqNullSafe(F.col("_p")))
+        row = a.join(b, "reading_id").select(F.lit(name).alias("model"), F.count_if(differs).alias("mismatches"), F.count(F.lit(1)).alias("n_rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _every_row(spark, sf_dir):
+    """All labelled readings with the detectors' features, unscaled."""
+    from wattlane.operators.quality import fill_zero
+    from wattlane.plans.pipelines import DETECTOR_FEATURES, additional_features
+    return fill_zero(additional_features(T.labelled(spark, sf_dir)), list(DETECTOR_FEATURES))
 
 
 _DIM = 64
@@ -237,22 +243,15 @@ def m6(spark, sf_dir):
     return out.select("vec_id", F.round("score", 6).alias("score"), "prediction")
 
 
-@register("S9_load_models_skip_absent")
+@register("S9_load_models_skip_absent", """
+SELECT reading_id, 'scaler' AS loaded, round((meter_reading - (SELECT avg(CASE WHEN isnan(value) THEN NULL ELSE value END) FROM events))
+       / (SELECT stddev_pop(CASE WHEN isnan(value) THEN NULL ELSE value END) FROM events), 6) + 0.0 AS z
+FROM (SELECT event_id AS reading_id, CASE WHEN isnan(value) THEN NULL ELSE value END AS meter_reading FROM events)""")
 def s9(spark, sf_dir):
-    """Fit a scaler + PCA pipeline on the readings, save it, then load a set
-    of model paths of which one is absent: the absent one is skipped and
-    the loaded pipeline scores the readings."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    from wattlane.sources.files import load_models, save_model
-    r = T.readings(spark, sf_dir).withColumns({"hour": F.hour("timestamp").cast("double"),
-                                               "dow": F.weekday("timestamp").cast("double")})
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=["meter_reading", "hour", "dow"], outputCol="x"),
-                            StandardScaler(inputCol="x", outputCol="z", withMean=True),
-                            PCA(k=2, inputCol="z", outputCol="p")])
-    path = save_model(pipe.fit(r), scratch_path(spark, "scaler-pca"))
-    loaded = load_models(spark, {"scaler_pca": path, "absent": scratch_path(spark, "never-written")})
-    out = loaded["scaler_pca"].transform(r)
-    from pyspark.ml.functions import vector_to_array
-    return out.select("reading_id", F.lit(",".join(sorted(loaded))).alias("loaded"),
-                      vector_to_array("p")[0].alias("pc1"), vector_to_array("p")[1].alias("pc2"))
+    """The fitted scaler saved and loaded from a folder in which every other
+    model is absent (skipped), applied to the readings."""
+    r = T.readings(spark, sf_dir)
+    path = save_all(spark, {"scaler": Scaler.fit(r, ["meter_reading"])}, scratch_path(spark, "models"))
+    loaded = load_all(spark, path)
+    z = loaded["scaler"].transform(r)
+    return z.select("reading_id", F.lit(",".join(sorted(loaded))).alias("loaded"), (F.round("meter_reading", 6) + F.lit(0.0)).alias("z"))

@@ -273,28 +273,45 @@ def c19(spark, sf_dir):
     return X.daily_counts(preprocess_script(T.readings(spark, sf_dir)))
 
 
+# numeric columns of the preprocessed table, in its column order
+C2_NUMERIC = ["building_id", "reading_id", "meter_reading", "anomaly", "year", "month", "day", "hour", "minute", "dayofweek", "is_weekend",
+              "month_sin", "month_cos", "hour_sin", "hour_cos", "building_mean", "building_std", "building_min", "building_max",
+              "building_median", "consumption_ratio"]
+
+
 def _corr_sql_over(prefix_sql: str, src: str, cols: list[str], lower_only: bool = True) -> str:
-    parts = []
-    for i in range(len(cols)):
-        for j in range(len(cols)):
-            if lower_only and not i > j:
-                continue
-            x, y = f"CAST({cols[i]} AS DOUBLE)", f"CAST({cols[j]} AS DOUBLE)"
-            parts.append(f"SELECT {i} AS i, {j} AS j, '{cols[i]}' AS col_i, '{cols[j]}' AS col_j, "
-                         f"CASE WHEN isnan(corr({x}, {y})) THEN NULL ELSE corr({x}, {y}) END AS corr FROM {src}")
-    return prefix_sql + "\nUNION ALL ".join(parts)
+    """All pairs in one aggregate over a materialised source. A column
+    whose values vary by no more than rounding has no correlation."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if i > j or not lower_only]
 
+    def c(i, j):
+        x, y = f"CAST({cols[i]} AS DOUBLE)", f"CAST({cols[j]} AS DOUBLE)"
+        return f"round(corr({x}, {y}), 6) AS c_{i}_{j}, min({x}) = max({x}) OR min({y}) = max({y}) AS k_{i}_{j}"
+    picks = "\nUNION ALL ".join(f"SELECT {i} AS i, {j} AS j, '{cols[i]}' AS col_i, '{cols[j]}' AS col_j, "
+                                f"CASE WHEN k_{i}_{j} OR isnan(c_{i}_{j}) THEN NULL ELSE c_{i}_{j} + 0.0 END AS corr FROM agg" for i, j in pairs)
+    return prefix_sql + f"""
+, src AS MATERIALIZED (SELECT * FROM {src}),
+agg AS MATERIALIZED (SELECT {", ".join(c(i, j) for i, j in pairs)} FROM src)
+{picks}"""
 
-_C17_COLS = ["meter_reading", "month", "hour", "minute", "dayofweek", "is_weekend", "hour_sin", "hour_cos",
-             "consumption_ratio"]
 
+def _rounded_corr(df, cols, lower_only):
+    m = X.correlation_matrix(df, cols, lower_only=lower_only)
+    return m.withColumn("corr", F.round("corr", 6) + F.lit(0.0))
 
-@register("C17_correlation_heatmap", _corr_sql_over(_C2_SQL, "c2", _C17_COLS))
+
+@register("C17_correlation_heatmap", _corr_sql_over(_C2_SQL, "c2", C2_NUMERIC))
 def c17(spark, sf_dir):
-    """Masked (strict lower triangle) correlation of the preprocessed
-    numeric columns; the constant month gives NULL."""
+    """Masked (strict lower triangle) correlation of all numeric columns of
+    the preprocessed table; constant columns give NULL."""
     f = preprocess_script(T.readings(spark, sf_dir))
-    return X.correlation_matrix(f, _C17_COLS, lower_only=True)
+    return _rounded_corr(f, C2_NUMERIC, True)
+
+
+@register("C7_eda_correlation", _corr_sql_over(_C2_SQL, "c2", C2_NUMERIC, False))
+def c7c(spark, sf_dir):
+    """Full correlation matrix of the preprocessed numeric columns."""
+    return _rounded_corr(preprocess_script(T.readings(spark, sf_dir)), C2_NUMERIC, False)
 
 
 @register("C8_train_detection_models")
@@ -322,87 +339,289 @@ def c9(spark, sf_dir):
     script does), with the explained-variance ratios attached."""
     from wattlane.operators.detect.pca import pca_view
     f = preprocess_script(T.readings(spark, sf_dir))
-    cols = [c for c in X.numeric_columns(f) if c not in ("year", "month", "minute")]
+    cols = X.numeric_columns(f)
     rows, var = pca_view(f, cols, 2, keep=["reading_id", "anomaly"])
     ratios = {r.component: r.explained_ratio for r in var.collect()}
     return rows.withColumns({"pc1_ratio": F.lit(ratios["pc1"]), "pc2_ratio": F.lit(ratios["pc2"])})
 
 
-@register("C13_modelling_section")
-def c13(spark, sf_dir):
-    """Dashboard modelling: NULL -> 0 features, forest without the depth-10
-    cap (Spark's maximum depth, 30), isolation forest; accuracy / AUC and
-    the top-10 importances in one table."""
+def _modelling(spark, sf_dir, max_depth=30):
+    """(metrics of forest and isolation forest, fitted forest, features,
+    scored validation rows of both, by model)."""
     from wattlane.operators.detect import forest as RF
     from wattlane.operators.detect.isolation import fit_isolation_forest
     from wattlane.operators.evaluate import evaluate
-    from wattlane.operators.quality import standardize
+    from wattlane.operators.quality import Scaler
     from wattlane.plans.pipelines import supervised_frame
+    from wattlane.session import materialize
     f, feats = supervised_frame(spark, sf_dir, "zero")
     train, val = f.where("is_validation = 0"), f.where("is_validation = 1")
-    rf = RF.fit_random_forest(train, feats, "anomaly", max_depth=30)
-    iso = fit_isolation_forest(standardize(train, feats, fit_on=train), feats, "reading_id", 100, 256, 0.1)
-    m = evaluate(RF.predict_forest(rf, val), "random_forest", "anomaly").unionByName(
-        evaluate(iso.transform(standardize(val, feats, fit_on=train)), "isolation_forest", "anomaly"))
+    keep = ["reading_id", "anomaly", "meter_reading", "score", "prediction"]
+    rf = RF.fit_random_forest(train, feats, "anomaly", max_depth=max_depth)
+    z = Scaler.fit(train, feats)
+    iso = fit_isolation_forest(z.transform(train), feats, "reading_id", 100, 256, 0.1)
+    scored = {"random_forest": materialize(RF.predict_forest(rf, val).select(keep), "forest-scores"),
+              "isolation_forest": materialize(iso.transform(z.transform(val)).select(keep), "iso-scores")}
+    m = None
+    for name, s in scored.items():
+        e = evaluate(s, name, "anomaly")
+        m = e if m is None else m.unionByName(e)
+    return m, rf, feats, scored
+
+
+@register("C13_modelling_section")
+def c13(spark, sf_dir):
+    """Dashboard modelling: NULL -> 0 features, forest without the depth-10
+    cap (Spark's maximum depth, 30), isolation forest; metrics with the
+    confusion counts, and which of the two is more accurate."""
+    m, _, _, _ = _modelling(spark, sf_dir)
     best = m.select(F.max_by("model", F.struct("accuracy", "model")).alias("b")).first()["b"]
     return m.withColumn("is_best", F.col("model") == F.lit(best))
 
 
+@register("C13_top10_importances")
+def c13i(spark, sf_dir):
+    """The ten features the forest uses most."""
+    from wattlane.operators.detect import forest as RF
+    _, rf, feats, _ = _modelling(spark, sf_dir)
+    return RF.feature_importance(spark, rf, feats).orderBy(F.desc("importance"), "feature").limit(10)
+
+
 @register("C14_results_section")
 def c14(spark, sf_dir):
-    """Score the held-out rows as an unlabelled test table with the fitted
-    forest and isolation forest (scaler fitted on train): detected rates."""
-    from wattlane.operators.detect import forest as RF
-    from wattlane.operators.detect.isolation import fit_isolation_forest
+    """Held-out rows as an unlabelled test table: detected rates (forest of
+    depth 10)."""
     from wattlane.operators.evaluate import detected_rate
-    from wattlane.operators.quality import standardize
-    from wattlane.plans.pipelines import supervised_frame
-    f, feats = supervised_frame(spark, sf_dir, "zero")
-    train, test = f.where("is_validation = 0"), f.where("is_validation = 1").drop("anomaly")
-    rf = RF.predict_forest(RF.fit_random_forest(train, feats, "anomaly"), test)
-    iso = fit_isolation_forest(standardize(train, feats, fit_on=train), feats, "reading_id", 100, 256, 0.1)
-    iso_s = iso.transform(standardize(test, feats, fit_on=train))
-    return (rf.select(F.lit("random_forest").alias("model"), detected_rate().alias("detected_pct"),
-                      F.count(F.lit(1)).alias("n_rows"))
-            .unionByName(iso_s.select(F.lit("isolation_forest").alias("model"), detected_rate().alias("detected_pct"),
-                                      F.count(F.lit(1)).alias("n_rows"))))
+    _, _, _, scored = _modelling(spark, sf_dir, 10)
+    out = None
+    for name, s in scored.items():
+        row = s.select(F.lit(name).alias("model"), detected_rate().alias("detected_pct"), F.count(F.lit(1)).alias("n_rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("C14_probability_sample")
+def c14p(spark, sf_dir):
+    """Reading, P(anomaly) and prediction of a fixed sample of 1,000 test
+    rows (a chart sample; all rows where there are fewer)."""
+    _, _, _, scored = _modelling(spark, sf_dir, 10)
+    s = scored["random_forest"].select("reading_id", "meter_reading", F.col("score").alias("p_anomaly"), "prediction")
+    return X.bounded_sample(s, 1000, "reading_id")
+
+
+def _suite(spark, sf_dir):
+    from wattlane.operators.detect.scorer import train_all
+    from wattlane.plans.pipelines import detector_frame
+    train_n, test, feats = detector_frame(spark, sf_dir)
+    return train_all(train_n, test, feats, "reading_id", "label")
 
 
 @register("C15_detector_suite_summary")
 def c15(spark, sf_dir):
-    """Chronological split, all detectors trained on normals, text summary."""
-    from wattlane.operators.detect.scorer import FAST, train_all
+    """Chronological split, all four detectors trained on normals, text summary."""
     from wattlane.operators.evaluate import results_summary
-    from wattlane.plans.pipelines import detector_frame
-    train_n, test, feats = detector_frame(spark, sf_dir)
-    metrics, _ = train_all(train_n, test, feats, "reading_id", "label", FAST)
-    return results_summary(metrics)
+    return results_summary(_suite(spark, sf_dir)[0])
 
 
-@register("C20_model_comparison_roc")
-def c20(spark, sf_dir):
-    """ROC points of every detector (AUC present), stacked by model."""
-    from wattlane.operators.detect.scorer import FAST, train_all
-    from wattlane.operators.evaluate import roc_curve
-    from wattlane.plans.pipelines import detector_frame
-    train_n, test, feats = detector_frame(spark, sf_dir)
-    _, scored = train_all(train_n, test, feats, "reading_id", "label", FAST)
+def _by_model(scored, fn):
     out = None
     for name, s in scored.items():
-        r = roc_curve(s).withColumn("model", F.lit(name))
+        r = fn(s).withColumn("model", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return out
 
 
+@register("C20_model_comparison_roc")
+def c20(spark, sf_dir):
+    """ROC points of every detector, stacked by model."""
+    from wattlane.operators.evaluate import roc_curve
+    return _by_model(_suite(spark, sf_dir)[1], roc_curve)
+
+
+@register("C20_metrics_long")
+def c20m(spark, sf_dir):
+    """(model, metric, score) of every detector, NULL scores dropped."""
+    from wattlane.operators.evaluate import metrics_long
+    return metrics_long(_suite(spark, sf_dir)[0])
+
+
 @register("C21_detection_dashboard")
 def c21(spark, sf_dir):
     """Score histogram (50 bins) per detector."""
-    from wattlane.operators.detect.scorer import FAST, train_all
-    from wattlane.plans.pipelines import detector_frame
-    train_n, test, feats = detector_frame(spark, sf_dir)
-    _, scored = train_all(train_n, test, feats, "reading_id", "label", FAST)
-    out = None
-    for name, s in scored.items():
-        h = X.histogram(s, "score", 50).withColumn("model", F.lit(name))
-        out = h if out is None else out.unionByName(h)
-    return out
+    return _by_model(_suite(spark, sf_dir)[1], lambda s: X.histogram(s, "score", 50))
+
+
+@register("C21_prediction_overlay")
+def c21o(spark, sf_dir):
+    """Predicted-positive rows of every detector with its F1."""
+    from wattlane.plans.q_models import overlay
+    return overlay(*_suite(spark, sf_dir))
+
+
+# --------------------------------------------------- further section aggregates
+from wattlane.plans.q_explore import _hist_sql  # noqa: E402
+
+_SEASONS_SQL = f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, {_season_sql('month(l_shipdate)', C.SEASONS_EN)} AS season,
+                  CAST(l_extendedprice AS DOUBLE) AS value, CAST(l_quantity AS DOUBLE) AS quantity FROM lineitem)
+"""
+
+
+def _box_sql(src: str, by: str, value: str) -> str:
+    return f"""
+, q AS (SELECT {by}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median,
+               quantile_cont({value}, 0.75) AS q3 FROM {src} WHERE {value} IS NOT NULL GROUP BY 1)
+SELECT r.{by}, q.q1, q.median, q.q3,
+       min(CASE WHEN {value} >= q1 - 1.5 * (q3 - q1) THEN {value} END) AS whisker_lo,
+       max(CASE WHEN {value} <= q3 + 1.5 * (q3 - q1) THEN {value} END) AS whisker_hi,
+       count(*) FILTER (WHERE {value} < q1 - 1.5 * (q3 - q1) OR {value} > q3 + 1.5 * (q3 - q1)) AS outliers,
+       count(*) AS n
+FROM {src} r JOIN q USING ({by}) WHERE {value} IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+@register("C1_label_shares", R + """
+SELECT anomaly, count(*) AS count, count(*) * 100.0 / (SELECT count(*) FROM readings) AS share_pct FROM readings GROUP BY 1""")
+def c1s(spark, sf_dir):
+    """Rows and share of each label."""
+    return X.value_counts(T.readings(spark, sf_dir), "anomaly")
+
+
+@register("C1_preview", R + 'SELECT * FROM readings ORDER BY "timestamp", reading_id LIMIT 5')
+def c1p(spark, sf_dir):
+    """The first five readings (a preview)."""
+    return X.preview(T.readings(spark, sf_dir), 5, ["timestamp", "reading_id"])
+
+
+@register("C7_eda_monthly_mean", _C2_SQL + "SELECT month, avg(meter_reading) AS mean FROM c2 GROUP BY 1")
+def c7m(spark, sf_dir):
+    return X.group_stats(preprocess_script(T.readings(spark, sf_dir)), "month", "meter_reading")
+
+
+@register("C7_eda_histogram", _C2_SQL.replace("\ng AS", "\ng0 AS").replace("FROM g)", "FROM g0)").replace("FROM g)", "FROM g0)").replace("FROM g\n", "FROM g0\n").replace("AS meter_reading) FROM g)", "AS meter_reading) FROM g0)") + _hist_sql("c2", "meter_reading"))
+def c7h(spark, sf_dir):
+    return X.histogram(preprocess_script(T.readings(spark, sf_dir)), "meter_reading", 50)
+
+
+@register("C10_column_profile", R + """
+, n AS (SELECT count(*) AS n FROM readings),
+p AS (SELECT 0 AS ordinal, 'reading_id' AS column_name, 'bigint' AS data_type, count(DISTINCT reading_id) AS distinct_values,
+             count(*) - count(reading_id) AS null_values FROM readings
+      UNION ALL SELECT 1, 'building_id', 'bigint', count(DISTINCT building_id), count(*) - count(building_id) FROM readings
+      UNION ALL SELECT 2, 'timestamp', 'timestamp_ntz', count(DISTINCT "timestamp"), count(*) - count("timestamp") FROM readings
+      UNION ALL SELECT 3, 'meter_reading', 'double', count(DISTINCT meter_reading), count(*) - count(meter_reading) FROM readings
+      UNION ALL SELECT 4, 'anomaly', 'int', count(DISTINCT anomaly), count(*) - count(anomaly) FROM readings)
+SELECT p.*, printf('%.1f', round_even((n - null_values) * 100.0 / n, 1)) || '%' AS completeness FROM p, n""")
+def c10c(spark, sf_dir):
+    """Type, distinct values, nulls and completeness of every column."""
+    return X.column_profile(T.readings(spark, sf_dir))
+
+
+@register("C10_preview", R + 'SELECT * FROM readings ORDER BY building_id, "timestamp", reading_id LIMIT 10')
+def c10p(spark, sf_dir):
+    """The first ten readings by building (a preview)."""
+    return X.preview(T.readings(spark, sf_dir), 10, ["building_id", "timestamp", "reading_id"])
+
+
+_NEW = ["year", "month", "day", "hour", "dayofweek", "is_weekend", "month_sin", "month_cos", "hour_sin", "hour_cos", "day_sin", "day_cos"]
+
+
+@register("C11_new_columns", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', (SELECT count(*) FROM events))" for i, c in enumerate(_NEW))
+          + ") t(ordinal, column_name, n_values)")
+def c11n(spark, sf_dir):
+    """The columns that the dashboard's preprocessing adds, in order, with
+    their values counted."""
+    r = T.readings(spark, sf_dir)
+    f = preprocess_dashboard(r)
+    new = [c for c in f.columns if c not in r.columns]
+    counts = f.select(*[F.count(c).alias(c) for c in new])
+    pairs = ", ".join(f"{i}, '{c}', `{c}`" for i, c in enumerate(new))
+    return counts.selectExpr(f"stack({len(new)}, {pairs}) AS (ordinal, column_name, n_values)")
+
+
+@register("C11_hour_cycle_counts", R + f"""
+SELECT round(sin({PI2} * hour("timestamp") / 24.0), 6) + 0.0 AS hour_sin, round(cos({PI2} * hour("timestamp") / 24.0), 6) + 0.0 AS hour_cos,
+       count(*) AS n FROM readings GROUP BY 1, 2""")
+def c11h(spark, sf_dir):
+    """Rows per point of the hour cycle (the 24 bars of its histogram)."""
+    f = preprocess_dashboard(T.readings(spark, sf_dir))
+    return f.groupBy((F.round("hour_sin", 6) + F.lit(0.0)).alias("hour_sin"), (F.round("hour_cos", 6) + F.lit(0.0)).alias("hour_cos")).agg(F.count("*").alias("n"))
+
+
+@register("C11_month_cycle_counts", SH + f"""
+SELECT round(sin({PI2} * month("timestamp") / 12.0), 6) + 0.0 AS month_sin, round(cos({PI2} * month("timestamp") / 12.0), 6) + 0.0 AS month_cos,
+       count(*) AS n FROM shipments GROUP BY 1, 2""")
+def c11m(spark, sf_dir):
+    """Rows per point of the month cycle."""
+    f = C.add_calendar(T.shipments(spark, sf_dir), minute=False)
+    return f.groupBy((F.round("month_sin", 6) + F.lit(0.0)).alias("month_sin"), (F.round("month_cos", 6) + F.lit(0.0)).alias("month_cos")).agg(F.count("*").alias("n"))
+
+
+@register("C12_eda_hourly_mean", R + 'SELECT CAST(hour("timestamp") AS INTEGER) AS hour, avg(meter_reading) AS mean FROM readings GROUP BY 1')
+def c12h(spark, sf_dir):
+    return X.group_stats(T.readings(spark, sf_dir).withColumn("hour", F.hour("timestamp")), "hour", "meter_reading")
+
+
+@register("C12_eda_weekday_mean", R + 'SELECT CAST(isodow("timestamp") - 1 AS INTEGER) AS dayofweek, avg(meter_reading) AS mean FROM readings GROUP BY 1')
+def c12w(spark, sf_dir):
+    return X.group_stats(T.readings(spark, sf_dir).withColumn("dayofweek", F.weekday("timestamp")), "dayofweek", "meter_reading")
+
+
+@register("C12_eda_histogram", R + _hist_sql("readings", "meter_reading"))
+def c12g(spark, sf_dir):
+    return X.histogram(T.readings(spark, sf_dir), "meter_reading", 50)
+
+
+@register("C12_eda_box_by_label", R + _box_sql("readings", "anomaly", "meter_reading"))
+def c12b(spark, sf_dir):
+    return X.box_stats(T.readings(spark, sf_dir), "meter_reading", ["anomaly"])
+
+
+@register("C12_eda_sample", R + """
+SELECT reading_id, "timestamp", meter_reading, anomaly FROM readings
+ORDER BY md5(CAST(reading_id AS VARCHAR) || '42'), reading_id LIMIT 1000""")
+def c12s(spark, sf_dir):
+    """The fixed 1,000-row chart sample."""
+    r = T.readings(spark, sf_dir).select("reading_id", "timestamp", "meter_reading", "anomaly")
+    return X.bounded_sample(r, 1000, "reading_id")
+
+
+@register("C16_hourly_pattern_normals", R + """
+SELECT CAST(hour("timestamp") AS INTEGER) AS hour, avg(meter_reading) AS mean, stddev_samp(meter_reading) AS std, count(*) AS n
+FROM readings WHERE anomaly = 0 GROUP BY 1""")
+def c16h(spark, sf_dir):
+    r = T.readings(spark, sf_dir).where("anomaly = 0")
+    return r.groupBy(F.hour("timestamp").alias("hour")).agg(F.avg("meter_reading").alias("mean"), F.stddev_samp("meter_reading").alias("std"),
+                                                            F.count("*").alias("n"))
+
+
+@register("C16_global_statistics", R + """
+SELECT avg(meter_reading) AS mean, stddev_samp(meter_reading) AS std, min(meter_reading) AS min, max(meter_reading) AS max,
+       CAST(sum(anomaly) AS BIGINT) AS anomalies, avg(anomaly) * 100 AS anomaly_rate FROM readings""")
+def c16g(spark, sf_dir):
+    r = T.readings(spark, sf_dir)
+    return r.select(F.avg("meter_reading").alias("mean"), F.stddev_samp("meter_reading").alias("std"), F.min("meter_reading").alias("min"),
+                    F.max("meter_reading").alias("max"), F.sum("anomaly").cast("long").alias("anomalies"), (F.avg("anomaly") * 100).alias("anomaly_rate"))
+
+
+@register("C16_histogram_normals", R + ", nm AS (SELECT * FROM readings WHERE anomaly = 0)" + _hist_sql("nm", "meter_reading"))
+def c16n(spark, sf_dir):
+    return X.histogram(T.readings(spark, sf_dir).where("anomaly = 0"), "meter_reading", 50)
+
+
+def _seasons(spark, sf_dir):
+    return T.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", C.season(F.month("l_shipdate")).alias("season"),
+        F.col("l_extendedprice").cast("double").alias("value"), F.col("l_quantity").cast("double").alias("quantity"))
+
+
+@register("C18_box_by_season", _SEASONS_SQL + _box_sql("s", "season", "value"))
+def c18b(spark, sf_dir):
+    return X.box_stats(_seasons(spark, sf_dir), "value", ["season"])
+
+
+@register("C18_driver_value_pairs", _SEASONS_SQL + """
+SELECT season, quantity, avg(value) AS mean_value, count(*) AS n FROM s GROUP BY 1, 2""")
+def c18p(spark, sf_dir):
+    """Pairs of the driving measure (quantity) and the value, per season:
+    the points of the scatter, one per distinct measure."""
+    return _seasons(spark, sf_dir).groupBy("season", "quantity").agg(F.avg("value").alias("mean_value"), F.count("*").alias("n"))

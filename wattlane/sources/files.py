@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -105,6 +107,16 @@ def save_model(model, path: str) -> str:
     return path
 
 
+def save_meta(spark: SparkSession, path: str, meta: dict) -> str:
+    """A model's parameters (bounded) as one JSON row."""
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    return path
+
+
+def load_meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+
+
 def load_models(spark: SparkSession, paths: dict[str, str], loaders: dict[str, Callable] | None = None):
     """Load the models that exist, skipping absent ones."""
     from pyspark.ml import PipelineModel
