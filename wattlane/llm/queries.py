@@ -87,4 +87,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"""
+w AS (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT doc_id, i, string_agg(word, ' ') OVER win AS q, count(*) OVER win AS c FROM p
+      WINDOW win AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {follow} FOLLOWING))"""
+
+_UPPER = "".join(map(chr, range(65, 91)))
+
+# Words hold no spaces, so a joined window names its word sequence.
+_OP2_SQL = "WITH" + _WORDS.format(text="coalesce(text, '')", follow=19) + """,
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY q ORDER BY doc_id, i) AS nth FROM g WHERE c = 20),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE nth > 1),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+d AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN d USING (doc_id)"""
+
+_OP5_SQL = "WITH RECURSIVE" + _WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')", follow=4) + """,
+s AS (SELECT DISTINCT doc_id, q FROM g WHERE c = 5
+      UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.q = b.q AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e2.b FROM r JOIN e2 ON r.y = e2.a),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id"""
+
+_OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, m.component_id, vec_id = m.component_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN m ON m.x = vec_id"""
+
+SQL: dict[str, str] = {
+    "op2_substring_dedup": _OP2_SQL,
+    "op5_ngram_jaccard": _OP5_SQL,
+    "op6_embedding_dedup": _OP6_SQL,
+}
