@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattlane.llm.common import portions
+
 UND = "und"
 HIDDEN = 8
 STEPS = 48
@@ -249,14 +251,21 @@ class Reader:
 
 
 def training_slices(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
-    """lang and slice (text) of the bounded training sample."""
-    pick = Window.partitionBy("lang").orderBy("_h")
-    rows = (docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select("lang", "text", F.xxhash64("doc_id", "text").alias("_h")))
+    """lang and slice (text) of the bounded training sample: of each
+    language the ``rows_per_lang`` rows with the smallest hash."""
+    known = docs.filter(F.col("lang").isNotNull())
+    # rows whose hash cannot be among the smallest stay out of the shuffle;
+    # one row a language (the network has an output for each): bounded
+    rate = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * rows_per_lang) / F.count("*")).alias("_rate"))
+    h = F.xxhash64("doc_id", "text")
+    unit = F.pmod(h, F.lit(1 << 40)) / float(1 << 40)
     # the slices are cut before the rows are ranked: whole texts never move
     parts = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)),
                         lambda i: F.substring(F.col("text"), (F.length("text") * i / SLICES).cast("int") + 1, F.lit(STEPS)))
-    return (rows.select("lang", "_h", F.array_distinct(parts).alias("parts"))
+    rows = (known.filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", unit.alias("_u"), h.alias("_h"))
+            .join(F.broadcast(rate), "lang").filter(F.col("_u") < F.col("_rate")))
+    pick = Window.partitionBy("lang").orderBy("_u", "_h")
+    return (rows.select("lang", "_u", "_h", F.array_distinct(parts).alias("parts"))
             .withColumn("_n", F.row_number().over(pick)).filter(F.col("_n") <= rows_per_lang)
             .select("lang", F.explode("parts").alias("slice")))
 
@@ -279,7 +288,7 @@ def predict(docs: DataFrame, net: Net | None, keep: Sequence[str] = ()) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(net)
-        for b in batches:
+        for b in portions(batches, 4096):
             read = b.column("_letter").to_pylist()
             texts = [t.encode() if r else b"" for t, r in zip(b.column("text").to_pylist(), read)]
             p = reader.documents(texts)
