@@ -27,37 +27,46 @@ from wattlane.llm import jaccard, langid, mixing, packing, substring
 from wattlane.session import materialize, ship_package
 
 LANGUAGE_MIN = 0.3
+BATCH_ROWS = 1000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _ready(spark: SparkSession) -> None:
+    """The package for the workers, and Arrow batches of fewer rows than
+    Spark's default of 10,000: the rows are whole texts, and all stages share
+    the executors' memory."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark)
     net = langid.fit(docs.filter(~langid.held_out()))
     told = langid.predict(docs, net, COLUMNS[1:])
     return told.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LANGUAGE_MIN)).select(COLUMNS)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     first = jaccard.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
     stays = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stays.unionByName(docs.filter("doc_id IS NULL")).select(COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     out = substring.dedup_substrings(docs, keep=["lang", "source"])
     return (out.filter("n_words > n_removed")
             .select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     return mixing.mix(docs).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

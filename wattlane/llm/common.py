@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +44,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows: what Python holds of
+    their texts at a time stays small. At the end of the task freed memory
+    goes back to the system."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Hand freed memory of this worker back: workers live on between tasks
+    and share the executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(fn):
+    """``fn`` for applyInArrow, with ``release`` once its own memory is free."""
+    @functools.wraps(fn)
+    def call(*args):
+        out = fn(*args)
+        release()
+        return out
+    call.__signature__ = inspect.signature(fn)  # Spark counts the arguments
+    return call
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered. Cleared when it holds
     ``limit`` words, so its memory does not grow with the corpus."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

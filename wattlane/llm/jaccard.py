@@ -30,7 +30,8 @@ one order of all shingles.
 
 Without words or text: an empty set, linked with nothing. Null doc_ids are
 never nodes; their rows come back with a null component. Repeated rows
-share a component. Equal doc_ids are one node (smallest set size first).
+share a component. Where rows share a doc_id but not the text, the smallest
+of their sets is compared for all of them.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import WordHashes, partitions_for, rolling, stage, text_bytes
+from wattlane.llm.common import WordHashes, partitions_for, portions, rolling, stage, text_bytes, tidy
 from wattlane.llm.components import components, roots
 
 WORDS = 5
@@ -53,10 +54,10 @@ CHUNKS = 64
 KEEP = np.uint64((1 << 48) - 1)
 LOW = np.uint64(0xFFFFFFFF)
 INDEX_ROWS = 1 << 21
-PART = 2048
+PART = 1024
 EXACT = 1024
 NONE = np.iinfo(np.int64).min
-ITEMS = 2048
+ITEMS = 1024
 TASK_BYTES = 8 << 20
 
 
@@ -83,7 +84,7 @@ def _sketch(bits: int):
     """Counts of shingles by the top bits of their hash, a row per chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, held, size = WordHashes(), np.zeros(1 << bits, np.uint32), [], 0
-        for b in batches:
+        for b in portions(batches):
             for text in b.column("text").to_pylist():
                 held.append((shingle_set(text, known) >> np.uint64(64 - bits)).astype(np.int64))
                 size += len(held[-1])
@@ -146,7 +147,7 @@ def _index(bits: int, classes, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = WordHashes(), classes.value
         groups, size = {}, 0
-        for b in batches:
+        for b in portions(batches):
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 s = shingle_set(text, known)
@@ -198,6 +199,7 @@ def fitting(gid: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _leaders(t: pa.Table) -> pa.Table:
     """Of one hash bucket: (gid, leader) for the shingles that two or more
     fitting entries share, without repeats."""
@@ -224,7 +226,7 @@ def _leaders(t: pa.Table) -> pa.Table:
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A document's set as 48-bit hashes, once for each of its places."""
     known = WordHashes()
-    for b in batches:
+    for b in portions(batches):
         sets = [np.sort(shingle_set(x, known) & KEEP) for x in b.column("text").to_pylist()]
         data = pa.array([s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets], pa.binary())
         places = pa.concat_arrays([b.column("places")])
@@ -269,8 +271,16 @@ def _links(nodes: np.ndarray, items: list[bytes], x: int) -> tuple[np.ndarray, n
     sets = [_items(i) for i in items]
     n = np.array([len(s) for s in sets])
     same = overlaps(sets, x)
-    i, j = np.nonzero(DEN * same >= NUM * (n[:x, None] + n[None, :] - same))
-    root = roots(len(nodes), i, j)
+    us, vs = [], []
+    for a in range(0, x, 128):
+        i, j = np.nonzero(DEN * same[a:a + 128] >= NUM * (n[a:min(a + 128, x), None] + n[None, :] - same[a:a + 128]))
+        if len(i) > 4 * len(nodes):  # dense: a spanning forest of these rows is enough
+            r = roots(len(nodes), i + a, j)
+            i, j = np.arange(len(nodes)), r
+            a = 0
+        us.append(i + a)
+        vs.append(j)
+    root = roots(len(nodes), np.concatenate(us), np.concatenate(vs))
     away = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[away], nodes[root[away]]
 
@@ -280,15 +290,19 @@ def _verify(keys: list[str]):
     with everything. Groups are bounded; only one is held at a time."""
     def links(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         t = pa.Table.from_batches(rows)
-        nodes, side = t.column("node").to_numpy(), t.column("side").to_numpy()
-        nodes, first = np.unique(np.stack([side, nodes]), axis=1, return_index=True)
+        both = np.stack([t.column("side").to_numpy(), t.column("node").to_numpy()])
+        nodes, first = np.unique(both, axis=1, return_index=True)
+        if nodes.shape[1] < both.shape[1]:  # rows that share a doc_id: the smallest set stands for it
+            sets = t.column("items").to_pylist()
+            t = t.take(pa.array(sorted(range(len(sets)), key=lambda i: (both[0, i], both[1, i], len(sets[i]), sets[i]))))
+            nodes, first = np.unique(np.stack([t.column("side").to_numpy(), t.column("node").to_numpy()]), axis=1, return_index=True)
         items = t.column("items").take(pa.array(first)).to_pylist()
         x = int((nodes[0] == 0).sum())
         return _links(nodes[1], items, x) if x and len(items) > 1 else (np.zeros(0, np.int64),) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, held = None, []
-        for b in batches:
+        for b in portions(batches, 4096):
             key = np.stack([b.column(k).to_numpy() for k in keys], 1)
             cuts = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
             found = []

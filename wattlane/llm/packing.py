@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import stage
+from wattlane.llm.common import portions, stage
 from wattlane.llm.tokens import encoder, load_tokenizer, prove_whole
 
 SIZE = 1024
@@ -48,7 +48,7 @@ def piece_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, id_bytes, whole.value)
-        for b in batches:
+        for b in portions(batches):
             cols: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 units = enc.units(text or "")

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import WordHashes, partitions_for, rolling, text_bytes
+from wattlane.llm.common import WordHashes, partitions_for, rolling, text_bytes, tidy
 
 WINDOW = 20
 PACK_BYTES = 8 << 20
@@ -97,6 +97,7 @@ def _anchor_keys(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _probes(block: int, buckets: int):
     """Distinct rolling block hashes of a pack, one row per bucket."""
+    @tidy
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         p = Pack(t)
         start, h = p.windows(block)
@@ -121,6 +122,7 @@ def _probes(block: int, buckets: int):
     return run
 
 
+@tidy
 def _anchors(t: pa.Table) -> pa.Table:
     """Of one hash bucket: the reference blocks that occur twice or more,
     sent back to the packs that hold them."""
@@ -152,6 +154,7 @@ def _stretches(window: int, buckets: int):
     the smallest doc_id that has it here."""
     block = window // 2
 
+    @tidy
     def run(key: tuple[pa.Scalar, ...], t: pa.Table, hits: pa.Table) -> pa.Table:
         rows = []
         if hits.num_rows and t.num_rows:
@@ -181,6 +184,7 @@ def _stretches(window: int, buckets: int):
     return run
 
 
+@tidy
 def _owners(t: pa.Table) -> pa.Table:
     """Of one hash bucket: to each pack the windows it does not own."""
     packs = t.column("pack").to_numpy()
@@ -201,6 +205,7 @@ def _owners(t: pa.Table) -> pa.Table:
 
 
 def _kept(window: int, keep: Sequence[str], schema: pa.Schema):
+    @tidy
     def run(key: tuple[pa.Scalar, ...], t: pa.Table, lost: pa.Table) -> pa.Table:
         p = Pack(t)
         start, h = p.windows(window)

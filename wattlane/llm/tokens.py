@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattlane.llm.common import portions
+
 # The white space of the tokenizer's pre-token pattern, and that pattern.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 _PRE = regex.compile(PRETOKEN)
-CACHE = 700_000
+CACHE = 400_000
 # Below this code point all Unicode versions agree on letters, numbers and white space.
 SETTLED = "\u0500"
 
@@ -88,11 +90,13 @@ def merge_engine(tok):
     return tiktoken.Encoding("merges", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-class UnitEncoder:
-    """Units of a text to values (a count, or id bytes), remembered.
+class UnitEncoder(dict):
+    """Units of a text to values (a count, or id bytes), remembered: the
+    dictionary itself, which learns a unit when it first meets it.
 
     ``value(ids)`` turns ids into what is kept for a unit; values of the
-    pre-tokens of a unit are added up with ``+``.
+    pre-tokens of a unit are added up with ``+``. Above ``CACHE`` units all
+    but the proven ones are forgotten.
     """
 
     def __init__(self, path: str, value: Callable, whole: dict[str, int] | None = None):
@@ -100,10 +104,10 @@ class UnitEncoder:
         self.value = value
         whole = prove_whole(self.tok) if whole is None else whole
         self.whole = {s: value([i]) for s, i in whole.items()}
-        self.known: dict = dict(self.whole)
         self.merge = merge_engine(self.tok) or self._library
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        super().__init__(self.whole)
 
     def _library(self, pretoken: str) -> list[int]:
         return self.tok.encode(pretoken, add_special_tokens=False).ids
@@ -116,32 +120,25 @@ class UnitEncoder:
         # later letters and numbers: the library's own classes decide
         return [unit[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(unit)]
 
-    def _learn(self, units: set[str]) -> None:
-        split = [(u, self._pretokens(u)) for u in units]
-        merged: dict = {}
-        whole, merge, value = self.whole, self.merge, self.value
-        for u, ps in split:
-            total = None
-            for p in ps:
-                v = whole.get(p) or merged.get(p)
-                if v is None:
-                    v = merged[p] = value(merge(p))
-                total = v if total is None else total + v
-            self.known[u] = total
+    def __missing__(self, unit: str):
+        total = None
+        for p in self._pretokens(unit):
+            v = self.get(p)  # whole tokens, and words met before
+            if v is None:
+                v = self.value(self.merge(p))
+            total = v if total is None else total + v
+        if len(self) >= CACHE:
+            self.clear()
+            self.update(self.whole)
+        self[unit] = total
+        return total
 
     def units(self, text: str) -> list | None:
         """The values of a text's units in order; None where only the
         library's whole-text encoding is right (added tokens inside)."""
         if self.added and self.added.search(text):
             return None
-        units = UNIT.findall(text)
-        new = set(units).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known = dict(self.whole)
-                new = set(units).difference(self.known)
-            self._learn(new)
-        return list(map(self.known.__getitem__, units))
+        return list(map(self.__getitem__, UNIT.findall(text)))
 
     def whole_text(self, text: str):
         return self.value(self.tok.encode(text, add_special_tokens=False).ids)
@@ -165,7 +162,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, len, whole.value)
-        for b in batches:
+        for b in portions(batches):
             out = []
             for text in b.column("text").to_pylist():
                 if not text:

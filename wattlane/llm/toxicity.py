@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattlane.llm.common import portions
 from wattlane.llm.langid import held_out
 
 SAMPLE = 12_000
@@ -180,7 +181,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()),
                                            pa.array([counts[0][k] for k in keys], pa.int64())], names=["feature", "toxic", "clean"])
     counts = {0: Counter(), 1: Counter()}
-    for b in batches:
+    for b in portions(batches):
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             words = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower())}
             counts[y].update({"=" + w for w in words} | {w[:n] for w in words for n in STEMS if len(w) >= n})
@@ -273,7 +274,7 @@ def score_documents(docs: DataFrame, lexicon: tuple[set, set, set], weights: dic
     """doc_id, held_out, score, predicted of every row; no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*lexicon)
-        for b in batches:
+        for b in portions(batches):
             m = np.array([lex.matches(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(SYMBOLS))
             s = score(m, weights)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s),
