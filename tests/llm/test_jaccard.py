@@ -72,6 +72,14 @@ def test_overlaps_in_slices(monkeypatch):
     assert jaccard.overlaps(sets, 6).tolist() == want
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """The smallest set stands for the id; every row gets its own size."""
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 30), ("v", 60)))
+    rows = [(1, b), (1, a), (1, a), (2, a), (3, a + " x"), (4, b + " y")]
+    got = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 26, 1), (1, 26, 1), (1, 56, 1), (2, 26, 1), (3, 27, 1), (4, 57, 4)]
+
+
 def test_empty(no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0
 
