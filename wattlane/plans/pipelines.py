@@ -61,17 +61,6 @@ def time_features(df: DataFrame, value: str, order: Sequence[str] = ("timestamp"
     return lag_rolling(out, keys, list(order), value, (1, 24), 24, prefix, ratio=True)
 
 
-def eda_aggregates(df: DataFrame, value: str = "meter_reading", label: str = "anomaly") -> dict[str, DataFrame]:
-    """The aggregates behind the EDA charts."""
-    return {
-        "histogram": X.histogram(df, value, 50),
-        "box_by_label": X.box_stats(df, value, [label]),
-        "monthly_mean": df.groupBy("month").agg(F.avg(value).alias("mean")),
-        "hourly_anomaly_rate": df.groupBy("hour").agg(F.avg(label).alias("anomaly_rate")),
-        "correlation": X.correlation_matrix(df, X.numeric_columns(df)),
-    }
-
-
 def flagship(spark, sf_dir: str) -> DataFrame:
     """Readings -> calendar features -> median imputation -> 24-row lag and
     rolling features per building -> IQR outlier flags and caps -> per
