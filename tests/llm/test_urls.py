@@ -66,3 +66,33 @@ def test_one_class_and_empty(spark):
 def test_threshold():
     assert urls.calibrated_threshold([]) == 0.0
     assert 0.1 < urls.calibrated_threshold([(10, 0, 5), (30, 1, 5)]) <= 0.31
+
+
+def test_counts_stay_exact_beyond_a_million_ngrams(spark):
+    """More distinct n-grams than a fixed table of 2**20 cells holds."""
+    rng = np.random.default_rng(1)
+    name = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789-_"), n))
+    ruled = [f"http://a.org/{name(300)}" for _ in range(500)] + [f"http://b.com/de/{name(300)}" for _ in range(500)]
+    free = [f"http://c.net/{name(60)}" for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(ruled + free)), "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in urls.filter_urls(df).collect()}
+    counts = [{}, {}]
+    for u in set(ruled):
+        c = counts["a.org" in u]
+        t = "\0" * urls.ORDER + u.split("://")[1]
+        for i in range(urls.ORDER, len(t)):
+            for k in range(urls.ORDER + 1):
+                for g in ((k, t[i - k:i]), (k, t[i - k:i + 1])):
+                    c[g + (len(g[1]) > k,)] = c.get(g + (len(g[1]) > k,), 0) + 1
+    assert sum(map(len, counts)) > 1 << 20
+    for j, u in enumerate(free):
+        t, logs = "\0" * urls.ORDER + u.split("://")[1], []
+        for c in counts:
+            total = 0.0
+            for i in range(urls.ORDER, len(t)):
+                p = 1 / 256
+                for k in range(urls.ORDER + 1):
+                    p = (c.get((k, t[i - k:i + 1], True), 0) + urls.STRENGTH * p) / (c.get((k, t[i - k:i], False), 0) + urls.STRENGTH)
+                total += np.log(p)
+            logs.append(total)
+        assert abs(got[len(ruled) + j] - (logs[1] - logs[0]) / (len(t) - urls.ORDER)) < 1e-9
