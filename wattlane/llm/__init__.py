@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and their queries.
+"""Training-data operators: corpus operators and their queries.
 
 Nothing else in the library imports this subpackage. Every operator reads
 only the columns it names (``doc_id``, ``text`` ...), so extra columns and
