@@ -1,8 +1,7 @@
 """Phrase collocations from an FM-index per shard (operator 12).
 
 1. A task turns its texts into shards of about ``SHARD_WORDS`` word ids (id 0
-   ends a piece, ids differ between languages) and writes each shard's ids
-   and dictionary.
+   ends a piece, ids differ between languages).
 2. Words that occur ``min_count`` times in all shards stay; each shard puts
    an end of piece in place of the others. (No phrase with a rarer word can
    be frequent.)
@@ -14,11 +13,13 @@
    the other to the left; either extension gives the longer phrase's start in
    the forward order, and phrases that both sides reach have a frequent
    prefix and a frequent suffix. Their counts are the interval sizes.
-4. A phrase is named by the numbers of its prefix and its suffix, so shards
-   exchange (prefix, suffix, count) and no text. The sums over all shards
-   decide which phrases are frequent; each shard gets the numbers of its own
-   back for the next turn. A phrase has at most one row a shard, so the
-   rows of the commonest phrase are as many as the shards.
+4. A phrase is named by the numbers of its prefix and its suffix, so from the
+   second turn on shards exchange (prefix, suffix, count) and no text. A
+   shard sends each bucket (by hash of the name) its sorted names and counts
+   as one compressed message of a few bytes an entry; the bucket adds them
+   over all shards, numbers the frequent ones and answers each shard with the
+   places and numbers of its own. A phrase has at most one entry a shard, so
+   a bucket's size follows from the texts' size and not from a phrase's count.
 
 Cuts and overlaps are joins of the few frequent phrases along these numbers:
 the counts of all beginnings and ends of a phrase come with its prefix and
@@ -33,34 +34,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattlane.llm.common import portions, shuffle_partitions, stage, tidy
+from wattlane.llm.common import mix, portions, stage, text_bytes, tidy, unstage
 
 MIN_COUNT = 30
 MAX_WORDS = 4
 COVERED = (4, 5)               # an extension with 4/5 of the count covers a phrase
 TOP = 2000
 UND = "und"
-SHARD_WORDS = 2_000_000
-DICTIONARY_ROWS = 100_000      # rows of an Arrow batch
+SHARD_WORDS = 1_200_000
+BUCKET_BYTES = 16 << 20        # of text for each bucket of phrases
+WORD_BUCKET_BYTES = 64 << 20   # and of words
 
 END = b"."                     # no word holds it
 _MAP = bytes(ord(".") if chr(i) in ".,;:!?\n\x0b\x0c\r" else i for i in range(256)).lower()
 
+# Rows of a shard: a message to a bucket (its first entry's place in the
+# shard), or, under these bucket numbers, what the shard keeps.
+IDS, STATE = -1, -2
+_SHARD = "shard long, bucket int, first int, body binary"
+# Rows of a bucket: an answer to a shard, or (shard null) a frequent name.
+_BUCKET = "shard long, places binary, numbers binary, number long, prefix long, suffix long, f long, lang string, word string"
 
-def _squeeze(ids: np.ndarray) -> bytes:
-    """int32 as four byte planes, compressed."""
-    return zstandard.compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Integers as byte planes, compressed."""
+    v = np.ascontiguousarray(values)
+    return zstandard.compress(v.view(np.uint8).reshape(-1, v.itemsize).T.tobytes(), 1)
 
-def _unsqueeze(blob: bytes) -> np.ndarray:
+
+def _unsqueeze(blob: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
     raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def _join(*parts: bytes) -> bytes:
+    return b"".join([np.array([len(parts), *map(len, parts)], "<i8").tobytes(), *parts])
+
+
+def _split(blob: bytes) -> list[bytes]:
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(blob, "<i8", n, 8)])
+    return [blob[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())],
+                                      names=["shard", "bucket", "first", "body"])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -97,26 +125,39 @@ class _Shard:
         self.parts.append(ids)
         self.size += len(ids)
 
-    def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
-        ids = _short(np.concatenate([np.zeros(1, np.int32), *self.parts]))
-        n = np.bincount(ids, minlength=self.kinds + 1)
-        yield _shard_rows(shard, [UND], [None], np.zeros(1), np.zeros(1), [_squeeze(ids)])
+    def rows(self, shard: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The ids, the commonest word first (small numbers compress well),
+        with each word's place in the order of (bucket, name), and in that
+        order the messages: names (language, a blank, word) and counts."""
+        names = []
         for lang, known in self.ids.items():
-            words = list(known)[1:]
-            local = np.fromiter(known.values(), np.int64, len(known))[1:]
-            for lo in range(0, len(words), DICTIONARY_ROWS):
-                at = slice(lo, lo + DICTIONARY_ROWS)
-                yield _shard_rows(shard, [lang] * len(words[at]), words[at], local[at], n[local[at]], None)
-
-
-_SHARD_SCHEMA = "shard long, lang string, word string, id int, n long, ids binary"
-
-
-def _shard_rows(shard, langs, words, local, n, blobs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(langs), shard, np.int64)), pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()),
-         pa.array(local.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(blobs or [None] * len(langs), pa.binary())],
-        names=["shard", "lang", "word", "id", "n", "ids"])
+            head = lang.encode() + b" "
+            for word, i in known.items():
+                if i:
+                    name = head + word
+                    names.append((xxhash.xxh3_64_intdigest(name) % buckets, name, i))
+        names.sort()
+        ids = _short(np.concatenate([np.zeros(1, np.int32), *self.parts]))
+        n = np.bincount(ids, minlength=self.kinds + 1)[1:]
+        ranked = n.argsort(kind="stable")[::-1]
+        rank, place = np.zeros(self.kinds + 1, np.int32), np.empty(self.kinds, np.int32)
+        rank[ranked + 1] = np.arange(1, self.kinds + 1)
+        order = np.fromiter((x[2] for x in names), np.int64, len(names)) - 1
+        place[order] = np.arange(self.kinds)
+        yield _rows([(shard, IDS, 0, _join(_squeeze(rank[ids]), _squeeze(place[ranked])))])
+        n = n[order]
+        bucket = np.fromiter((x[0] for x in names), np.int64, len(names))
+        for b, lo, hi in _groups(bucket):
+            yield _rows([(shard, b, lo, _join(_squeeze(n[lo:hi]), _squeeze(np.fromiter((len(x[1]) for x in names[lo:hi]), np.int64, hi - lo)),
+                                              zstandard.compress(b"".join(x[1] for x in names[lo:hi]), 1)))])
+
+
+def _groups(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of each run of equal values."""
+    if len(sorted_):
+        first = np.flatnonzero(np.diff(sorted_, prepend=sorted_[0] - 1))
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(sorted_)]):
+            yield int(sorted_[lo]), lo, hi
 
 
 def _short(ids: np.ndarray) -> np.ndarray:
@@ -124,7 +165,7 @@ def _short(ids: np.ndarray) -> np.ndarray:
     return ids[np.concatenate([[True], (ids[1:] != 0) | (ids[:-1] != 0)])] if len(ids) else ids
 
 
-def _shards(shard_words: int):
+def _shards(shard_words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         shard = _Shard()
@@ -132,10 +173,10 @@ def _shards(shard_words: int):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 shard.add(lang, text)
                 if shard.size >= shard_words:
-                    yield from shard.rows(number)
+                    yield from shard.rows(number, buckets)
                     number, shard = number + 1, _Shard()
         if shard.kinds:
-            yield from shard.rows(number)
+            yield from shard.rows(number, buckets)
     return run
 
 
@@ -220,86 +261,187 @@ def extend(ids: np.ndarray, depth: int, start: np.ndarray, mirror: np.ndarray, s
     return right_start[r], right_mirror[r], n[r], number[by[r]], number[qy[q]]
 
 
-_GRAMS = "shard long, start int, mirror int, n long, prefix long, suffix long, ids binary"
-
-
-def _grams(shard: int, found: tuple[np.ndarray, ...], ids: np.ndarray | None = None) -> pa.Table:
-    start, mirror, n, prefix, suffix = found
-    t = pa.table([pa.array(np.full(len(n), shard, np.int64)), pa.array(start.astype(np.int32)), pa.array(mirror.astype(np.int32)),
-                  pa.array(n.astype(np.int64)), pa.array(prefix), pa.array(suffix), pa.nulls(len(n), pa.binary())],
-                 names=["shard", "start", "mirror", "n", "prefix", "suffix", "ids"])
-    if ids is None:
-        return t
-    row = {c: [None] for c in t.column_names} | {"shard": [shard], "ids": [_squeeze(ids)]}
-    return pa.concat_tables([pa.table(row, t.schema), t])
-
-
-@tidy
-def _pairs(key: tuple[pa.Scalar, ...], shard: pa.Table, known: pa.Table) -> pa.Table:
-    """Frequent words of a shard -> its shortened ids and its pairs."""
-    if not shard.num_rows or not known.num_rows:
-        return _grams(key[0].as_py(), (np.zeros(0, np.int64),) * 5)
-    ids = _unsqueeze(shard.column("ids")[0].as_py())
-    local, number = known.column("id").to_numpy(), known.column("number").to_numpy()
-    order = local.argsort()
-    symbol = np.zeros(int(ids.max()) + 1, np.int32)
-    symbol[local[order]] = np.arange(1, len(local) + 1)
-    ids = _short(symbol[ids])
-    size = np.bincount(ids, minlength=len(local) + 1)
+def _placed(found: tuple[np.ndarray, ...], buckets: int) -> tuple[np.ndarray, ...]:
+    """Phrases in the order of (bucket, prefix, suffix), with the bucket."""
+    _, _, _, prefix, suffix = found
+    with np.errstate(over="ignore"):
+        bucket = (mix(prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suffix.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((suffix, prefix, bucket))
+    return tuple(x[order] for x in (*found, bucket))
+
+
+def _messages(shard: int, found: tuple[np.ndarray, ...], keep: bool) -> pa.Table:
+    """A message for each bucket, and with ``keep`` what the shard needs of
+    these phrases in the next turn."""
+    start, mirror, n, prefix, suffix, bucket = found
+    rows = [(shard, STATE, 0, _join(*(_squeeze(x.astype(np.int32)) for x in (start, mirror, n))))] if keep else []
+    for b, lo, hi in _groups(bucket):
+        rows.append((shard, b, lo, _join(_squeeze(n[lo:hi]), _squeeze(np.diff(prefix[lo:hi], prepend=0)), _squeeze(suffix[lo:hi]))))
+    return pa.Table.from_batches([_rows(rows)])
+
+
+def _answers(known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(places, numbers) of a shard's frequent names, by place."""
+    if not known.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    places = np.concatenate([_unsqueeze(x, np.int32) for x in known.column("places").to_pylist()]).astype(np.int64)
+    numbers = np.concatenate([_unsqueeze(x, np.int64) for x in known.column("numbers").to_pylist()])
+    order = places.argsort()
+    return places[order], numbers[order]
+
+
+def _kept(rows: pa.Table, bucket: int) -> bytes | None:
+    i = np.flatnonzero(rows.column("bucket").to_numpy() == bucket)
+    return rows.column("body")[int(i[0])].as_py() if len(i) else None
+
+
+def _first_pairs(ids: np.ndarray, numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    size = np.bincount(ids, minlength=len(numbers) + 1)
     start = (np.cumsum(size) - size)[1:]
-    return _grams(key[0].as_py(), extend(ids, 1, start, start, size[1:], number[order]), ids)
+    return _placed(extend(ids, 1, start, start, size[1:], numbers), buckets)
+
+
+def _pairs(buckets: int):
+    """Frequent words of a shard -> its shortened ids with the words' numbers,
+    and its pairs."""
+    @tidy
+    def run(key: tuple[pa.Scalar, ...], shard: pa.Table, known: pa.Table) -> pa.Table:
+        places, numbers = _answers(known)
+        body = _kept(shard, IDS)
+        if body is None or not len(places):
+            return pa.Table.from_batches([_rows([])])
+        ids, place = (_unsqueeze(x, np.int32) for x in _split(body))
+        number = np.full(len(place), -1, np.int64)
+        number[places] = numbers
+        number = number[place]
+        frequent = number >= 0
+        symbol = np.append(0, np.where(frequent, np.cumsum(frequent), 0)).astype(np.int32)
+        ids, number = _short(symbol[ids]), number[frequent]
+        kept = pa.Table.from_batches([_rows([(key[0].as_py(), IDS, 0, _join(_squeeze(ids), _squeeze(number)))])])
+        return pa.concat_tables([kept, _messages(key[0].as_py(), _first_pairs(ids, number, buckets), False)])
+    return run
 
 
-def _longer(depth: int):
+def _longer(depth: int, buckets: int, keep: bool):
+    """Frequent phrases of ``depth`` words of a shard -> those one longer.
+    Pairs are found again, as the shard's words know their numbers; of longer
+    candidates the shard has kept the intervals."""
     @tidy
     def run(key: tuple[pa.Scalar, ...], shard: pa.Table, known: pa.Table) -> pa.Table:
-        found = (np.zeros(0, np.int64),) * 5
-        if shard.num_rows and known.num_rows:
-            columns = [known.column(c).to_numpy().astype(np.int64) for c in ("start", "mirror", "n", "number")]
-            order = columns[0].argsort()
-            found = extend(_unsqueeze(shard.column("ids")[0].as_py()), depth, *(c[order] for c in columns))
-        return _grams(key[0].as_py(), found)
+        places, numbers = _answers(known)
+        body, state = _kept(shard, IDS), _kept(shard, STATE)
+        if body is None or not len(places):
+            return pa.Table.from_batches([_rows([])])
+        ids, words = _split(body)
+        ids = _unsqueeze(ids, np.int32)
+        found = _first_pairs(ids, _unsqueeze(words, np.int64), buckets)[:3] if depth == 2 else [_unsqueeze(x, np.int32) for x in _split(state)]
+        start, mirror, size = (x[places].astype(np.int64) for x in found)
+        order = start.argsort()
+        return _messages(key[0].as_py(), _placed(extend(ids, depth, start[order], mirror[order], size[order], numbers[order]), buckets), keep)
+    return run
+
+
+def _bucket_rows(bucket: int, messages: pa.Table, group: np.ndarray, f: np.ndarray, lengths: list[int], min_count: int, names) -> pa.Table:
+    """The frequent groups of a bucket's entries as names (``names(frequent)``
+    gives their columns), and the answers."""
+    frequent = np.flatnonzero(f >= min_count)
+    number = np.full(len(f), -1, np.int64)
+    number[frequent] = (bucket << 40) | np.arange(len(frequent))
+    shards, first = messages.column("shard").to_pylist(), messages.column("first").to_pylist()
+    told, ends = number[group], np.cumsum([0, *lengths])
+    rows = []
+    for shard, at, lo, hi in zip(shards, first, ends[:-1], ends[1:]):
+        mine = np.flatnonzero(told[lo:hi] >= 0)
+        if len(mine):
+            rows.append((shard, _squeeze((mine + at).astype(np.int32)), _squeeze(told[lo:hi][mine])))
+    c = list(zip(*rows)) or [()] * 3
+    k, m = len(rows), len(frequent)
+    prefix, suffix, lang, word = names(frequent)
+
+    def column(head, tail, kind) -> pa.Array:
+        return pa.chunked_array([pa.nulls(k, kind) if head is None else pa.array(head, kind), pa.nulls(m, kind) if tail is None else pa.array(tail, kind)])
+    return pa.table([column(c[0], None, pa.int64()), column(c[1], None, pa.binary()), column(c[2], None, pa.binary()), column(None, number[frequent], pa.int64()),
+                     column(None, prefix, pa.int64()), column(None, suffix, pa.int64()), column(None, f[frequent], pa.int64()),
+                     column(None, lang, pa.string()), column(None, word, pa.string())],
+                    names=["shard", "places", "numbers", "number", "prefix", "suffix", "f", "lang", "word"])
+
+
+def _add_words(min_count: int):
+    """Also a row (number null) with the bucket's words of each language."""
+    @tidy
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        group, counts, lengths = [], [], []
+        for body in t.column("body").to_pylist():
+            n, size, raw = _split(body)
+            ends, raw = np.cumsum(_unsqueeze(size, np.int64)).tolist(), zstandard.decompress(raw)
+            group += [known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends], ends)]
+            counts.append(_unsqueeze(n, np.int64))
+            lengths.append(len(ends))
+        group = np.array(group, np.int64)
+        f = np.zeros(len(known), np.int64)
+        np.add.at(f, group, np.concatenate(counts))
+        words = [w.rsplit(b" ", 1) for w in known]
+
+        def names(frequent):
+            return None, None, [words[i][0].decode() for i in frequent], [words[i][1].decode() for i in frequent]
+        out = _bucket_rows(key[0].as_py(), t, group, f, lengths, min_count, names)
+        totals: dict[str, int] = {}
+        for (lang, _), n in zip(words, f.tolist()):
+            totals[lang.decode()] = totals.get(lang.decode(), 0) + n
+        rows = {c: [None] * len(totals) for c in out.column_names} | {"lang": list(totals), "f": list(totals.values())}
+        return pa.concat_tables([out, pa.table(rows, out.schema)])
     return run
 
 
-def _frequent(rows: DataFrame, names: list[str], min_count: int, name: str) -> DataFrame:
-    """Rows of the names whose ``n`` sum to ``min_count`` or more, with the
-    sum (``f``) and a number of the name; ``once`` marks one row of each."""
-    n = shuffle_partitions(rows.sparkSession)
-    w = Window.partitionBy(*names)
-    rows = (rows.repartition(n, *names).withColumn("_row", F.monotonically_increasing_id())
-            .withColumn("f", F.sum("n").over(w)).filter(F.col("f") >= min_count)
-            .withColumn("number", F.min("_row").over(w)).withColumn("once", F.col("_row") == F.col("number")).drop("_row"))
-    return stage(rows, name)
+def _add_phrases(min_count: int):
+    @tidy
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        parts = [_split(x) for x in t.column("body").to_pylist()]
+        n = [_unsqueeze(p[0], np.int64) for p in parts]
+        prefix = np.concatenate([np.cumsum(_unsqueeze(p[1], np.int64)) for p in parts])
+        suffix = np.concatenate([_unsqueeze(p[2], np.int64) for p in parts])
+        order = np.lexsort((suffix, prefix))
+        p, s = prefix[order], suffix[order]
+        first = np.flatnonzero((np.diff(p, prepend=-1) != 0) | (np.diff(s, prepend=-1) != 0))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        f = np.add.reduceat(np.concatenate(n)[order], first)
+        return _bucket_rows(key[0].as_py(), t, group, f, [len(x) for x in n], min_count, lambda frequent: (p[first[frequent]], s[first[frequent]], None, None))
+    return run
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shard_words: int = SHARD_WORDS) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of 1, 2 ... ``max_words`` words (number, prefix,
     suffix, f, lang, phrase, last word, and the counts of their beginnings
     and ends by length), and the number of words of every language."""
-    shards = stage(docs.select(F.coalesce("lang", F.lit(UND)).alias("lang"), "text").filter("text IS NOT NULL")
-                   .mapInArrow(_shards(shard_words), _SHARD_SCHEMA), "collocation-shards")
-    words = shards.filter("ids IS NULL").drop("ids")
-    known = _frequent(words, ["lang", "word"], min_count, "collocation-words")
+    size = text_bytes(docs)
+    buckets, word_buckets = size // BUCKET_BYTES + 1, size // WORD_BUCKET_BYTES + 1
+    found = stage(docs.select(F.coalesce("lang", F.lit(UND)).alias("lang"), "text").filter("text IS NOT NULL")
+                  .mapInArrow(_shards(shard_words, word_buckets), _SHARD), "collocation-shards")
+    told = stage(found.filter("bucket >= 0").groupBy("bucket").applyInArrow(_add_words(min_count), _BUCKET), "collocation-words")
+    totals = told.filter("shard IS NULL AND number IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
     none = F.expr("cast(array() as array<bigint>)")
-    levels = [known.filter("once").select("number", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
-                                          none.alias("heads"), none.alias("tails"))]
-    texts = shards.filter("ids IS NOT NULL").select("shard", "ids")
-    known = known.select("shard", "id", "number")
+    levels = [told.filter("number IS NOT NULL").select("number", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
+                                                       none.alias("heads"), none.alias("tails"))]
+    first, kept = found, found.filter(F.col("bucket") == IDS)
     for depth in range(1, max_words):
-        work = _pairs if depth == 1 else _longer(depth)
-        found = stage(texts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(work, _GRAMS), f"collocation-{depth + 1}")
+        answers = told.filter("shard IS NOT NULL").select("shard", "places", "numbers")
+        work = _pairs(buckets) if depth == 1 else _longer(depth, buckets, depth + 1 < max_words)
+        found = stage(kept.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(work, _SHARD), f"collocation-{depth + 1}")
         if depth == 1:
-            texts = found.filter("ids IS NOT NULL").select("shard", "ids")
-        known = _frequent(found.filter("ids IS NULL").drop("ids"), ["prefix", "suffix"], min_count, f"collocation-frequent-{depth + 1}")
+            unstage(first)                                   # the shortened ids stand for them from here on
+            texts = found.filter(F.col("bucket") == IDS)
+        kept = texts.unionByName(found.filter(F.col("bucket") == STATE))
+        told = stage(found.filter("bucket >= 0").groupBy("bucket").applyInArrow(_add_phrases(min_count), _BUCKET), f"collocation-frequent-{depth + 1}")
         below = levels[-1]
         p = below.select(F.col("number").alias("prefix"), "lang", F.col("phrase").alias("_begin"), "heads", F.col("f").alias("_head"))
         s = below.select(F.col("number").alias("suffix"), "last", "tails", F.col("f").alias("_tail"))
-        level = (known.filter("once").select("number", "prefix", "suffix", "f").join(p, "prefix").join(s, "suffix")
+        level = (told.filter("number IS NOT NULL").select("number", "prefix", "suffix", "f").join(p, "prefix").join(s, "suffix")
                  .select("number", "prefix", "suffix", "lang", F.concat_ws(" ", "_begin", "last").alias("phrase"), "last", "f",
                          F.concat("heads", F.array("_head")).alias("heads"), F.concat(F.array("_tail"), "tails").alias("tails")))
         levels.append(stage(level, f"collocation-level-{depth + 1}"))
-    return levels, words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return levels, totals
 
 
 # Decimals of 38 digits: the products may pass 64 bits.
