@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattlane.operators.selection import selected_quantiles
 from wattlane.session import materialize, ship_package
 
 # Groups up to this many rows share the one-shuffle built-in plan
@@ -151,9 +152,9 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
               max_group: int | None = None) -> DataFrame:
     """Per-key quantiles with linear interpolation (pandas ``quantile``).
 
-    ``method='exact'``: bounded groups use the ``percentile`` aggregate; hot
-    groups select the two ranks around p*(n-1) from positioned rows (no
-    value buffer per key). ``'approx'`` uses
+    ``method='exact'``: bounded groups use the ``percentile`` aggregate; of
+    hot groups the two ranks around p*(n-1) are found by selection (no value
+    buffer per key, no exchange of rows). ``'approx'`` uses
     ``percentile_approx`` (mergeable sketch, one pass). Nulls are ignored;
     keys whose values are all null get no row.
     """
@@ -181,40 +182,17 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
         parts.append(cold.groupBy(*keys).agg(*[
             F.percentile("_v", F.lit(float(p))).alias(nm) for p, nm in zip(probs, names)]))
     if hot is not None:
-        parts.append(_ranked_quantiles(hot, keys, probs, names))
+        parts.append(selected_quantiles(hot, keys, probs, names))
     return _union(parts)
 
 
-def _ranked_quantiles(d: DataFrame, keys: list[str], probs: Sequence[float],
-                      names: Sequence[str]) -> DataFrame:
-    """Quantiles from positions: pick the two ranks around p * (n - 1)."""
-    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    need = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        need.append(F.struct(F.lit(i).alias("_i"), F.floor(h).cast("long").alias("_lo"),
-                             F.ceil(h).cast("long").alias("_hi"),
-                             (h - F.floor(h)).alias("_frac")))
-    wanted = counts.select(*keys, F.explode(F.array(*need)).alias("_q")).select(*keys, "_q.*")
-    ranks = wanted.select(*keys, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_pos"))
-    ranks = ranks.distinct()
-    pos = range_positions(d, keys, ["_v"], "_pos")
-    picked = pos.join(ranks, [*keys, "_pos"] if keys else ["_pos"], "inner")
-    lo = picked.select(*keys, F.col("_pos").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = picked.select(*keys, F.col("_pos").alias("_hi"), F.col("_v").alias("_vhi"))
-    q = (wanted.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
-         .withColumn("_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))
-    return q.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
-
-
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      extra: Sequence[Column] = (), limit: int | None = None) -> dict:
     """Whole-table quantiles of several columns (``{col}__q{pp}``) plus any
     ``extra`` one-row aggregates, as literals. When the table is within the
     group limit everything is ONE aggregate pass (``percentile`` with an
-    array of probabilities per column); above it each column takes the
-    ranked path, which never holds a column in one task."""
+    array of probabilities per column); above it the columns go through
+    selection together, which never holds a column in one task."""
     limit = GROUP_LIMIT if limit is None else limit
     names = {p: f"q{int(round(p * 100)):02d}" for p in probs}
     n = df.count()
@@ -230,7 +208,7 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             out[e.name] = F.lit(row[e.name]).cast(e.dataType)
         return out
     out = row_literals(df.select(*extra)) if extra else {}
-    # all columns in one range sort: (column, value) rows ranked per column
+    # (column, value) rows, selected per column
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_e")).select("_e.*")
     found = {r["_c"]: r for r in quantiles(long, "_x", probs, ["_c"], [names[p] for p in probs], limit=0).collect()}
     for c in cols:

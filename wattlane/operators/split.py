@@ -2,8 +2,8 @@
 
 All draws are by md5 of the row key and a seed -- never ``rand()`` -- so a
 recomputed partition after an executor loss picks the same rows, and the
-same rule runs in plain SQL. Ranks within a label come from
-``with_positions`` (a label is a hot key: one of two classes).
+same rule runs in plain SQL. A label is a hot key (one of two classes), so
+the border between the parts is found by selection, not by ranking rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.operators.ordering import one_row, with_positions
+from wattlane.operators.ordering import one_row
+from wattlane.operators.selection import smallest
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
@@ -22,24 +23,16 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
                      seed: int = 42, name: str = "is_validation") -> DataFrame:
     """Per label value, the ``round(test_size * n_label)`` rows with the
     smallest md5(key || seed) go to validation (``name`` = 1)."""
-    d = df.withColumn("_h", hash_order(key, seed))
-    pos = with_positions(d, [label], ["_h", key], "_rk")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    take = counts.select(label, F.round(F.lit(test_size) * F.col("_n")).cast("long").alias("_take"))
-    # any column can be a label: AQE broadcasts the counts where they are small
-    out = pos.join(take, [label], "left")
-    return out.withColumn(name, (F.col("_rk") < F.col("_take")).cast("int")).drop("_h", "_rk", "_take")
+    take = df.groupBy(label).agg(F.round(F.lit(test_size) * F.count(F.lit(1))).cast("long").alias("_take"))
+    return smallest(df, label, hash_order(key, seed), key, take, name).withColumn(name, F.col(name).cast("int"))
 
 
 def group_fraction_sample(df: DataFrame, group: str, key: str, rate: float,
                           seed: int = 42) -> DataFrame:
     """``floor(n_group * rate)`` rows per group without replacement: the
     smallest md5(key || seed) of each group."""
-    d = df.withColumn("_h", hash_order(key, seed))
-    pos = with_positions(d, [group], ["_h", key], "_rk")
-    counts = df.groupBy(group).agg(F.floor(F.count(F.lit(1)) * F.lit(rate)).alias("_take"))
-    return (pos.join(counts, [group], "left").where(F.col("_rk") < F.col("_take"))
-            .drop("_h", "_rk", "_take"))
+    take = df.groupBy(group).agg(F.floor(F.count(F.lit(1)) * F.lit(rate)).cast("long").alias("_take"))
+    return smallest(df, group, hash_order(key, seed), key, take, "_in").where("_in").drop("_in")
 
 
 def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
