@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -114,6 +116,43 @@ def test_t13_t14_overlay_order_and_closed(spark):
     assert both[4] == 1 and both[5] == 0
 
 
+def test_overlay_over_blocks_equals_a_plain_fold(spark):
+    """Random overlapping events, blocks of 7 positions, nulls, gaps, ties."""
+    rng = random.Random(5)
+    rows = [(b, p, None if rng.random() < 0.1 else float(p)) for b in (1, 2, None) for p in [*range(40), 3, 1000]] + [(1, None, 5.0), (9, 2, 1.0)]
+    events = [(b, s, rng.randrange(-5, 45), rng.choice([-1, 0, 1, 3, 30, 2000]), rng.choice(["set", "multiply"]), rng.choice([0.5, 2.0, 3.0]))
+              for b in (1, 2, None, 7) for s in range(12)]
+    df = spark.createDataFrame(rows, "b int, p long, v double")
+    ev = spark.createDataFrame(events, "b int, seq int, start_pos long, length int, op string, factor double")
+    for closed in ("left", "both"):
+        want = []
+        for b, p, v in rows:
+            hit = 0
+            if b is not None and p is not None:
+                for _, _, a, n, op, f in sorted((e for e in events if e[0] == b), key=lambda e: e[1]):
+                    if n > 0 and a <= p < a + n + (closed == "both"):
+                        hit, v = 1, f if op == "set" else None if v is None else v * f
+            want.append((b, p, v, hit))
+        got = LD.overlay_intervals(df, ev, "b", "p", "v", closed=closed, block=7)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_run_events_hot_equals_cold(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(b, p, rng.random() < 0.4, 1.0) for b in (1, 2) for p in range(300)], "b int, p long, m boolean, v double")
+    hot, cold = (sorted(map(tuple, LD.run_events(df, "b", "p", F.col("m"), "v", limit=k).collect())) for k in (0, None))
+    assert hot == cold and len(hot) > 100
+
+
+def test_one_event_is_one_row_per_block(spark):
+    df = spark.range(100_000).selectExpr("1 AS b", "id AS p", "1.0 AS v")
+    ev = spark.createDataFrame([(1, 0, 0, 100_000, "multiply", 2.0)], "b int, seq int, start_pos long, length int, op string, factor double")
+    out = LD.overlay_intervals(df, ev, "b", "p", "v")
+    assert out.agg(F.sum("v")).first()[0] == 200_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("Generate explode") <= 1
+
+
 def test_t15_single_class_auc_null(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.5)], "label int, score double")
     assert EV.roc_auc_table(df).first().auc is None

@@ -402,11 +402,11 @@ def c14(spark, sf_dir):
 
 @register("C14_probability_sample")
 def c14p(spark, sf_dir):
-    """Reading, P(anomaly) and prediction of a fixed sample of 1,000 test
+    """Reading, P(anomaly) and prediction of a fixed sample of 5,000 test
     rows (a chart sample; all rows where there are fewer)."""
     _, _, _, scored = _modelling(spark, sf_dir, 10)
     s = scored["random_forest"].select("reading_id", "meter_reading", F.col("score").alias("p_anomaly"), "prediction")
-    return X.bounded_sample(s, 1000, "reading_id")
+    return X.bounded_sample(s, 5000, "reading_id")
 
 
 def _suite(spark, sf_dir):
@@ -578,11 +578,11 @@ def c12b(spark, sf_dir):
 
 @register("C12_eda_sample", R + """
 SELECT reading_id, "timestamp", meter_reading, anomaly FROM readings
-ORDER BY md5(CAST(reading_id AS VARCHAR) || '42'), reading_id LIMIT 1000""")
+ORDER BY md5(CAST(reading_id AS VARCHAR) || '42'), reading_id LIMIT 10000""")
 def c12s(spark, sf_dir):
-    """The fixed 1,000-row chart sample."""
+    """The fixed 10,000-row chart sample."""
     r = T.readings(spark, sf_dir).select("reading_id", "timestamp", "meter_reading", "anomaly")
-    return X.bounded_sample(r, 1000, "reading_id")
+    return X.bounded_sample(r, 10_000, "reading_id")
 
 
 @register("C16_hourly_pattern_normals", R + """

@@ -229,9 +229,7 @@ def f12(spark, sf_dir):
 
 
 @register("F13_null_to_mean", HOURLY + """
-, h AS MATERIALIZED (SELECT * FROM readings_hourly),
-m AS (SELECT avg(meter_reading) AS mean FROM h)
-SELECT building_id, "timestamp", coalesce(meter_reading, mean) AS meter_reading FROM h, m""")
+SELECT building_id, "timestamp", coalesce(meter_reading, avg(meter_reading) OVER ()) AS meter_reading FROM readings_hourly""")
 def f13(spark, sf_dir):
     return QY.fill_mean(T.readings_hourly(spark, sf_dir, stage=False), ["meter_reading"])
 
@@ -479,7 +477,14 @@ def j6(spark, sf_dir):
     return weekday_means(r, "meter_reading")
 
 
-def _j7_sql(closed_extra: int = 0) -> str:
+def _j7_sql(closed_extra: int = 0, spans: bool = False) -> str:
+    events = "ev"
+    more = ""
+    if spans:
+        events = "ev2"
+        more = """
+ev2 AS (SELECT building_id, 2 * seq AS seq, start_pos, length, op, factor FROM ev
+        UNION ALL SELECT building_id, 1, min(start_pos), max(start_pos + length) - min(start_pos), 'multiply', 1.5 FROM ev GROUP BY 1),"""
     return LB + f"""
 , pos AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY "timestamp", reading_id) - 1 AS pos FROM labelled),
 mk AS (SELECT building_id, pos, pos - row_number() OVER (PARTITION BY building_id ORDER BY pos) AS g FROM pos WHERE label = 1),
@@ -487,8 +492,8 @@ rn AS (SELECT building_id, min(pos) AS start_pos, count(*) AS length FROM mk GRO
 ev AS (SELECT r.*, row_number() OVER (PARTITION BY r.building_id ORDER BY start_pos) - 1 AS seq,
               CASE WHEN length = 1 THEN 'multiply' ELSE 'set' END AS op,
               CASE WHEN length = 1 THEN 2.0 ELSE m.mean END AS factor
-       FROM rn r JOIN (SELECT building_id, avg(meter_reading) AS mean FROM labelled GROUP BY 1) m USING (building_id)),
-cov AS (SELECT building_id, seq, op, factor, unnest(range(start_pos, start_pos + length + {closed_extra})) AS pos FROM ev),
+       FROM rn r JOIN (SELECT building_id, avg(meter_reading) AS mean FROM labelled GROUP BY 1) m USING (building_id)),{more}
+cov AS (SELECT building_id, seq, op, factor, unnest(range(start_pos, start_pos + length + {closed_extra})) AS pos FROM {events}),
 last_set AS (SELECT building_id, pos, max(seq) FILTER (WHERE op = 'set') AS ls,
                     arg_max(factor, seq) FILTER (WHERE op = 'set') AS set_value FROM cov GROUP BY 1, 2),
 agg AS (SELECT c.building_id, c.pos, l.set_value,
@@ -500,10 +505,11 @@ SELECT p.reading_id, p.building_id, p.pos,
 FROM pos p LEFT JOIN agg a USING (building_id, pos)"""
 
 
-def _overlay(spark, sf_dir, closed):
+def _overlay(spark, sf_dir, closed, spans=False):
     from wattlane.operators.ordering import with_positions
     pos = with_positions(T.labelled(spark, sf_dir), ["building_id"], ["timestamp", "reading_id"], "pos")
     ev = LD.run_events(pos, "building_id", "pos", F.col("label") == 1, "meter_reading")
+    ev = LD.with_spans(ev, "building_id") if spans else ev
     out = LD.overlay_intervals(pos, ev, "building_id", "pos", "meter_reading", "flag", closed=closed)
     return out.select("reading_id", "building_id", "pos", F.bround("meter_reading", 4).alias("meter_reading"), "flag")
 
@@ -522,6 +528,13 @@ def j7b(spark, sf_dir):
     return _overlay(spark, sf_dir, "both")
 
 
+@register("J7_overlapping_overlay", _j7_sql(0, True))
+def j7o(spark, sf_dir):
+    """The same events and, between a building's first and second, one that
+    scales its whole span: they overlap, and their order decides."""
+    return _overlay(spark, sf_dir, "left", True)
+
+
 @register("J8_aligned_predictions", SC + """
 SELECT reading_id AS key, label, CAST(score > (SELECT quantile_cont(score, 0.95) FROM scored) AS INTEGER) AS prediction,
        score FROM scored""")
