@@ -58,10 +58,13 @@ PROPERTIES = {
     "L3_top10_features": lambda r: len(r) == 10 and ranking(r),
     "L4_feature_ranking": lambda r: ranking(r) and abs(sum(x["importance"] for x in r) - 1) < 1e-9,
     "P14_positive_class_probability": lambda r: unit(r, "p_anomaly") and len(r) > 100,
+    "M1_unlimited_forest_validation": lambda r: unit(r) and len(r) > 100 and all(x["prediction"] == (x["score"] > 0.5) for x in r),
     "M3_isolation_forest_fit": lambda r: len({x["tree"] for x in r}) == 100 and all(x["depth"] <= 8 for x in r),
     "M4_isolation_forest_score": lambda r: len(r) == N_TEST and unit(r) and contamination(r),
     "M5_isolation_forest_unlabelled": lambda r: r[0]["n_rows"] == N_ALL and 5 <= r[0]["detected_pct"] <= 10.1,
     "M7_one_class_rff": lambda r: len(r) == N_TEST and contamination(r),
+    "M7_enclosing_ball": lambda r: len(r) == N_TEST and contamination(r) and all(-1 <= x["score"] < 0 for x in r),
+    "M8_autoencoder": lambda r: len(r) == N_TEST and sum(x["prediction"] for x in r) == 10 and all(x["score"] >= 0 for x in r),
     "M8_pca_reconstruction": lambda r: len(r) == N_TEST and sum(x["prediction"] for x in r) == 10 and all(x["score"] >= 0 for x in r),
     "M9_generic_scorer": stacked,
     "M10_pca_view": lambda r: len(r) == N_ALL and abs(np.mean([x["pc1"] for x in r])) < 1e-6,

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattlane.operators.detect.autoencoder import Autoencoder, fit_autoencoder
+from wattlane.operators.detect.ball import EnclosingBall, fit_enclosing_ball
 from wattlane.operators.detect.isolation import IsolationForestModel, fit_isolation_forest
 from wattlane.operators.detect.lof import LOFModel, fit_lof
 from wattlane.operators.detect.oneclass import OneClassRFF, fit_one_class
@@ -26,14 +28,21 @@ DETECTORS: dict[str, Callable] = {
     "pca_reconstruction": lambda train, features, key: fit_reconstruction(train, features, k=3),
 }
 
+# Detectors by name beside the suite: the kernel's own ball and a non-linear
+# reconstruction, which take more passes than the two they refine.
+MORE: dict[str, Callable] = {
+    "enclosing_ball": lambda train, features, key: fit_enclosing_ball(train, features, nu=0.1),
+    "autoencoder": lambda train, features, key: fit_autoencoder(train, features),
+}
+
 KINDS = {"isolation_forest": IsolationForestModel, "lof": LOFModel, "one_class_rff": OneClassRFF,
-         "pca_reconstruction": PCAReconstruction, "scaler": Scaler}
+         "pca_reconstruction": PCAReconstruction, "enclosing_ball": EnclosingBall, "autoencoder": Autoencoder, "scaler": Scaler}
 
 
 def fit_all(train: DataFrame, features: Sequence[str], key: str, names: Sequence[str] | None = None) -> dict:
-    """name -> fitted detector."""
+    """name -> fitted detector (the suite's, or those named)."""
     train = materialize(train.select(key, *features), "detector-train")
-    return {n: DETECTORS[n](train, list(features), key) for n in names or DETECTORS}
+    return {n: (DETECTORS | MORE)[n](train, list(features), key) for n in names or DETECTORS}
 
 
 def predict(models: dict, name: str, df: DataFrame, key: str, label: str | None = "label",

@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattlane.operators.detect import forest as RF
+from wattlane.operators.detect.autoencoder import fit_autoencoder
+from wattlane.operators.detect.ball import fit_enclosing_ball
+from wattlane.operators.detect.deepforest import DeepForest, fit_deep_forest
 from wattlane.operators.detect.isolation import fit_isolation_forest
 from wattlane.operators.detect.oneclass import fit_one_class
 from wattlane.operators.detect.pca import fit_reconstruction, pca_view
-from wattlane.operators.detect.scorer import DETECTORS, fit_all, load_all, predict, save_all, score, train_all
+from wattlane.operators.detect.scorer import DETECTORS, MORE, fit_all, load_all, predict, save_all, score, train_all
 from wattlane.operators.evaluate import detected_rate, evaluate
 from wattlane.operators.explore import numeric_columns
 from wattlane.operators.quality import Scaler
@@ -42,6 +45,19 @@ def m1m(spark, sf_dir):
     return evaluate(materialize(m1(spark, sf_dir), "forest-scores"), "random_forest", "anomaly")
 
 
+def _deep_forest(spark, sf_dir):
+    f, feats = supervised_frame(spark, sf_dir, "mean")
+    return fit_deep_forest(f.where("is_validation = 0"), feats, "reading_id", "anomaly"), f.where("is_validation = 1")
+
+
+@register("M1_unlimited_forest_validation")
+def m1u(spark, sf_dir):
+    """Random forest without a depth limit (100 trees, sqrt, balanced) on
+    the stratified split; validation rows with prediction and P(anomaly)."""
+    model, val = _deep_forest(spark, sf_dir)
+    return model.transform(val).select("reading_id", "anomaly", "prediction", "score")
+
+
 @register("M2_feature_importance")
 def m2(spark, sf_dir):
     model, feats, _ = _forest(spark, sf_dir)
@@ -99,6 +115,22 @@ def m7(spark, sf_dir):
     return score(fit_one_class(train_n, feats, nu=0.1), test, "reading_id", "label")
 
 
+@register("M7_enclosing_ball")
+def m7b(spark, sf_dir):
+    """One-class boundary of the RBF kernel itself: the smallest enclosing
+    ball from a core set (nu = 0.1)."""
+    train_n, test, feats = detector_frame(spark, sf_dir)
+    return score(fit_enclosing_ball(train_n, feats, nu=0.1), test, "reading_id", "label")
+
+
+@register("M8_autoencoder")
+def m8a(spark, sf_dir):
+    """Reconstruction error of a 64-32-64 autoencoder trained on the normal
+    rows; anomaly above the 95th percentile of the scored rows (strict)."""
+    train_n, test, feats = detector_frame(spark, sf_dir)
+    return score(fit_autoencoder(train_n, feats), test, "reading_id", "label")
+
+
 @register("M8_pca_reconstruction")
 def m8(spark, sf_dir):
     """MSE of a 3-component linear reconstruction; anomaly above the 95th
@@ -167,7 +199,8 @@ def m15(spark, sf_dir):
 
 _ROUND_TRIP_SQL = """
 SELECT model, CAST(0 AS BIGINT) AS mismatches, (SELECT count(*) FROM events) AS n_rows
-FROM (VALUES ('isolation_forest'), ('lof'), ('one_class_rff'), ('pca_reconstruction'), ('random_forest')) t(model)"""
+FROM (VALUES ('isolation_forest'), ('lof'), ('one_class_rff'), ('pca_reconstruction'), ('enclosing_ball'), ('autoencoder'),
+             ('random_forest'), ('deep_forest')) t(model)"""
 
 
 @register("S8_S9_model_persistence", _ROUND_TRIP_SQL)
@@ -177,13 +210,17 @@ def s8(spark, sf_dir):
     from wattlane.sources.files import load_models, save_model
     train_n, _, feats = detector_frame(spark, sf_dir)
     every = materialize(_every_row(spark, sf_dir), "readings")
-    models = fit_all(train_n, feats, "reading_id")
+    names = [*DETECTORS, *MORE]
+    models = fit_all(train_n, feats, "reading_id", names)
     loaded = load_all(spark, save_all(spark, models, scratch_path(spark, "models")))
     forest, _, _ = _forest(spark, sf_dir)
     frame, _ = supervised_frame(spark, sf_dir, "mean")
     path = save_model(forest, scratch_path(spark, "forest"))
     back = load_models(spark, {"rf": path, "absent": scratch_path(spark, "absent")})["rf"]
-    pairs = {n: (predict(models, n, every, "reading_id"), predict(loaded, n, every, "reading_id")) for n in DETECTORS}
+    pairs = {n: (predict(models, n, every, "reading_id"), predict(loaded, n, every, "reading_id")) for n in names}
+    deep, _ = _deep_forest(spark, sf_dir)
+    at = deep.save(spark, scratch_path(spark, "deep-forest"))
+    pairs["deep_forest"] = (deep.transform(frame), DeepForest.load(spark, at).transform(frame))
     pairs["random_forest"] = (RF.predict_forest(forest, frame), RF.predict_forest(back, frame))
     out = None
     for name, (a, b) in pairs.items():
