@@ -61,6 +61,20 @@ def test_edges(spark):
     assert metric.range_join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 40])
+def test_every_length_links_within_itself(spark, block):
+    g = np.random.default_rng(6)
+    rows, want = [], {}
+    for d, n in ((6, 120), (4, 90), (1, 20), (9, 1)):
+        x = np.abs(g.normal(size=(n, d))) * g.choice([-1, 1], (n, 1))
+        ids = np.arange(len(rows), len(rows) + n)
+        rows += [(int(i), v.tolist()) for i, v in zip(ids, x)]
+        want |= brute(ids, x)
+    got = metric.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), block=block).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+    assert all(sum(r[1] for r in got if lo <= r[0] < hi) > 0 for lo, hi in ((0, 120), (120, 210), (210, 230)))
+
+
 def test_threshold_in_double(spark):
     """Vectors a hair above and below the threshold."""
     rows = [(0, [1.0, 0.0])] + [(i + 1, [0.9 + d, float(np.sqrt(1 - (0.9 + d) ** 2))]) for i, d in enumerate((1e-9, -1e-9))]

@@ -7,21 +7,20 @@ r of the plane between the two pivots, (d(x, q)^2 - d(x, p)^2) / 2 d(p, q)
 <= r (the triangle inequality in its hyperplane form), so it is copied to
 those cells and to no other; then each cell joins alone.
 
-Vectors of equal direction are collapsed before (one representative with
-its count), so exact copies cost one row. Cells above ``CELL`` vectors are cut
-again by pivots of their own as long as that separates them; what stays
-large is joined in blocks of bounded size, one task a pair of blocks. In a
-block, members within r / 2 of a common centre are all linked by the
+Equal vectors are collapsed before (one representative with its count), so
+exact copies cost one row. Only vectors of one length can link: the pivots are
+those of the most frequent length, and every other length is a cell of its
+own. A cell is joined in blocks of bounded size, one task a pair of blocks. In
+a block, members within r / 2 of a common centre are all linked by the
 triangle inequality; they are counted, not compared. Only counts and one
 link a vector and block component leave a task, never all pairs.
 
 Products run in single precision; whatever comes within ``DOUBT`` of the
 threshold is computed again in double precision on the original vectors.
-Null, zero or non-finite vectors, vectors of another length than the most
-frequent one and rows without a vec_id link with nothing; their component
-is their vec_id. Without pruning (spread-out vectors
-in many dimensions) the work is that of all pairs in blocks; results are
-the same.
+Null, zero or non-finite vectors and rows without a vec_id link with nothing;
+their component is their vec_id. Without pruning (spread-out vectors in many
+dimensions: one pivot is chosen) the work is that of all pairs in blocks;
+results are the same.
 """
 
 from __future__ import annotations
@@ -212,15 +211,18 @@ def range_join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BL
     """vec_id, n_links, component_id, kept for every row."""
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
     size = common_size(rows)
-    takes_part = usable() & (F.size("embedding") == size) & F.col("vec_id").isNotNull()
+    takes_part = usable() & F.col("vec_id").isNotNull()
     out = ["vec_id", "n_links", "component_id"]
     rest = rows.filter(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rows = rows.filter(takes_part)
     reps = stage(distinct_vectors(rows), "vectors")
     radius = float(np.sqrt(2 - 2 * threshold))
-    p = pick_pivots(reps, radius)
+    length = F.size("embedding")
+    p = pick_pivots(reps.filter(length == size), radius)
     if len(p):
-        spread = stage(reps.select("rep", "embedding").mapInArrow(_assign(p, radius), "cell int, rep long, home boolean"), "cells")
+        spread = reps.filter(length == size).select("rep", "embedding").mapInArrow(_assign(p, radius), "cell int, rep long, home boolean")
+        others = reps.filter(length != size).select((-length).alias("cell"), "rep", F.lit(True).alias("home"))
+        spread = stage(spread.unionByName(others), "cells")
         sizes = spread.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nx"),
                                            F.ceil(F.count_if("home") / block).cast("int").alias("ny")).filter("ny > 0")
         sized = spread.join(sizes, "cell")
