@@ -10,7 +10,7 @@ import __spark_entry__ as E
 
 def test_registered():
     names = list(E.queries())
-    assert "pipeline" in names and all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11))
+    assert "pipeline" in names and all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 14))
     assert [n for n, _ in P.STAGES] == ["language", "duplicates", "repeats", "mixing", "packing"]
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in P.STAGES)
 
@@ -35,6 +35,15 @@ def test_stages_decide(spark, docs):
     assert {r["doc_id"] for r in fifth.collect()} == {r["doc_id"] for r in fourth.collect()}
 
 
+def test_rows_that_share_an_id_are_not_lost(spark):
+    """Unlike texts under one doc_id, copies without a doc_id, equal rows."""
+    w = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(6)]
+    rows = [(7, w[0]), (7, w[1]), (7, w[1]), (8, w[1] + " more"), (3, w[2]), (9, w[2]), (None, w[3]), (None, w[3]), (None, w[4]), (5, w[4]), (None, w[5]), (1, "a b")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in P.duplicates(spark, df, SF_SMALL).collect()), key=str)
+    assert got == sorted([(7, w[0]), (7, w[1]), (3, w[2]), (None, w[3]), (5, w[4]), (None, w[5]), (1, "a b")], key=str)
+
+
 def test_run_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert P.language(spark, docs, SF_SMALL).count() >= 0.99 * docs.count()
