@@ -3,7 +3,8 @@
 language   language ID; documents without a language (no letter) or with a
            pooled probability under ``LANGUAGE_MIN`` go
 duplicates n-gram Jaccard join; of each component the document with the
-           smallest doc_id stays (documents without doc_id all stay)
+           smallest doc_id stays; unlike texts that share a doc_id, and
+           documents without one, count as documents of their own
 repeats    exact substring dedup; repeated words go, and documents of which
            nothing is left
 mixing     documents are taken as often as the sources' targets ask
@@ -47,10 +48,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are compared under a name of their own (a hash of doc_id and
+    text), so rows that share a doc_id or have none are documents like any
+    other. Rows equal in both are one; of a component the smallest doc_id
+    stays (none last), of equal ones the smallest name. Should unlike rows
+    ever share a name, they all stay."""
     _ready(spark)
-    first = jaccard.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    stays = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.unionByName(docs.filter("doc_id IS NULL")).select(COLUMNS)
+    named = docs.withColumn("_name", F.xxhash64("doc_id", "text"))
+    seen = named.groupBy("_name").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_id"), F.min(F.crc32("text")).alias("_low"),
+                                      F.max(F.crc32("text")).alias("_high"), F.min(F.octet_length("text")).alias("_short"),
+                                      F.max(F.octet_length("text")).alias("_long"), F.max("doc_id").alias("_last"))
+    clash = ~(F.col("_low").eqNullSafe(F.col("_high")) & F.col("_short").eqNullSafe(F.col("_long")) & F.col("_id").eqNullSafe(F.col("_last")))
+    seen = materialize(seen.select("_name", "_n", "_id", clash.alias("_clash")), "pipeline-names")
+    comp = jaccard.jaccard_components(named.select(F.col("_name").alias("doc_id"), "text")).select(F.col("doc_id").alias("_name"), "component_id").distinct()
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_name")).alias("_first")
+    stays = seen.join(comp, "_name").groupBy("component_id").agg(first).select(F.col("_first._name").alias("_name"))
+    stays = materialize(stays.unionByName(seen.where("_clash").select("_name")).distinct().join(seen.select("_name", (F.col("_n") > 1).alias("_many")), "_name"), "pipeline-stays")
+    kept = named.join(stays, "_name")
+    many = kept.where("_many").groupBy("_name", "doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("_o"))
+    return (kept.where("NOT _many").select(COLUMNS)
+            .unionByName(many.select("doc_id", "text", "_o.lang", "_o.source", "_o.n_chars")))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
