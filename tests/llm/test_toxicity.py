@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from wattlane.llm import toxicity as tox
 
@@ -74,3 +77,15 @@ def test_edges(spark):
         assert len(out) == 5 and all(r["score"] is not None for r in out)
         assert [r["predicted"] for r in out if r["doc_id"] in (1, 2)] == [0, 0]
     assert tox.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_chance_holds_for_frequent_features():
+    """What chance gives is no evidence, however often it occurs."""
+    for n in (60, 260, 5000):
+        usual = [(f"w{n}", round(0.6 * n) + 1, n - round(0.6 * n) - 1)]
+        strong = [(f"s{n}", round(0.8 * n), n - round(0.8 * n))]
+        lex = tox.choose_lexicon([("=" + f, a, b) for f, a, b in usual + strong], 6000, 4000)
+        assert f"w{n}" not in lex.words and f"w{n}"[:3] not in lex.weak
+    for a, n, p in ((3, 10, 0.3), (40, 200, 0.2), (7, 7, 0.5)):
+        assert tox.tail(a, n, p) == pytest.approx(sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(a, n + 1)))
+    assert 0 < tox.tail(6000, 20_000, 0.29) < 0.01

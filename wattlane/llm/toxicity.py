@@ -192,8 +192,11 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tail(a: int, n: int, p: float) -> float:
-    """Chance of a or more toxic among n documents at rate p (binomial)."""
-    return sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(a, n + 1))
+    """Chance of a or more toxic among n documents at rate p (binomial), in
+    logarithms: n may be any number."""
+    k = np.arange(a, n + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    return float(np.exp(logs[n] - logs[k] - logs[n - k] + k * math.log(p) + (n - k) * math.log1p(-p)).sum())
 
 
 def choose_lexicon(rows, toxic: int, clean: int, chance: float = CHANCE) -> Lexicon:
@@ -203,7 +206,7 @@ def choose_lexicon(rows, toxic: int, clean: int, chance: float = CHANCE) -> Lexi
     pure, mixed = set(), set()
     for feature, a, b in rows:
         n = a + b
-        if a >= 4 and (n > 200 or tail(a, n, rate) < chance):
+        if a >= 4 and a > n * rate and tail(a, n, rate) < chance:
             (pure if a >= PURE * n else mixed).add(feature)
 
     def shortest(features: set, but: set) -> set:
