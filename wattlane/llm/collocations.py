@@ -49,6 +49,7 @@ COVERED = (4, 5)               # an extension with 4/5 of the count covers a phr
 TOP = 2000
 UND = "und"
 SHARD_WORDS = 1_200_000
+SHARD_BYTES = 64 << 20         # of text, should its words be very long
 BUCKET_BYTES = 16 << 20        # of text for each bucket of phrases
 WORD_BUCKET_BYTES = 64 << 20   # and of words
 
@@ -113,7 +114,7 @@ class _Shard:
         self.kinds = 0
         self.ids: dict[str, _Shard._Ids] = {}
         self.parts: list[np.ndarray] = []
-        self.size = 0
+        self.size = self.bytes = 0
 
     def add(self, lang: str, text: str) -> None:
         if lang not in self.ids:
@@ -124,6 +125,7 @@ class _Shard:
         ids[-1] = 0
         self.parts.append(ids)
         self.size += len(ids)
+        self.bytes += len(text)
 
     def rows(self, shard: int, buckets: int) -> Iterator[pa.RecordBatch]:
         """The ids, the commonest word first (small numbers compress well),
@@ -172,7 +174,7 @@ def _shards(shard_words: int, buckets: int):
         for b in portions(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 shard.add(lang, text)
-                if shard.size >= shard_words:
+                if shard.size >= shard_words or shard.bytes >= SHARD_BYTES:
                     yield from shard.rows(number, buckets)
                     number, shard = number + 1, _Shard()
         if shard.kinds:

@@ -44,7 +44,8 @@ DEVIATIONS = 3
 WORD_SHARE = 400
 LANGUAGE_SHARE = 1000
 LONGEST = 64                   # bytes of a common word
-HELD = 200_000                 # distinct words a task holds between two hand-overs
+HELD = 200_000                 # distinct words a task holds between two hand-overs,
+HELD_BYTES = 32 << 20          # and their bytes
 
 CLASSES = ["upper", "lower", "letter", "mark", "number", "punctuation", "symbol", "space", "other"]
 SYMBOLS = "#*%&@\\_"           # punctuation by its category, but no mark of a sentence
@@ -116,10 +117,20 @@ def repeated_words(ids: np.ndarray) -> int:
 class _Ids(dict):
     """word -> number"""
 
+    bytes = 0
+
     def __missing__(self, word: bytes) -> int:
+        self.bytes += len(word)
         i = self[word] = len(self)
         return i
 
+    def full(self) -> bool:
+        return len(self) > HELD or self.bytes > HELD_BYTES
+
+    def clear(self) -> None:
+        super().clear()
+        self.bytes = 0
+
 
 def bare(word: bytes) -> bytes:
     """The word as the histograms count it: A-Z lower-cased, without ASCII
@@ -176,7 +187,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n[:len(seen[lang])] += seen[lang]
             seen[lang] = n
             classes[lang] += sum(m.classes for m in some)
-        if len(ids) > HELD:
+        if ids.full():
             yield from handed_over()
     yield from handed_over()
 
@@ -264,7 +275,7 @@ def _judge(refs: dict[str, Reference]):
         bins = {lang: _Common(r) for lang, r in refs.items()}
         ids = _Ids()
         for b, all_ in _measured(batches, ids):
-            if len(ids) > HELD:
+            if ids.full():
                 ids.clear()
             langs = b.column("lang").to_pylist()
             by_class, by_word = np.full(len(all_), np.nan), np.full(len(all_), np.nan)
