@@ -50,6 +50,21 @@ def test_lag_rolling_hot_blocks_equal_plain_window(spark):
             assert (a is None and b is None) or abs(a - b) < 1e-9
 
 
+def test_windows_wider_than_a_block_equal_plain_windows(spark):
+    """Blocks below the reach of windows and lags, with NULLs, a null key,
+    short series and a large offset."""
+    rows = [(b, i, None if (i * 7 + (b or 0)) % 11 == 0 and b != 2 else 1e6 + (i * 37 % 101)) for b, n in ((1, 90), (2, 140), (None, 60), (4, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "b int, i int, v double")
+    for block, size in ((1, 24), (7, 24), (24, 24), (23, 5), (3, 1)):
+        args = (["b"], ["i"], "v", (1, 24), size)
+        want = {(r.b, r.i): r[3:] for r in lag_rolling(df, *args).collect()}
+        got = {(r.b, r.i): r[3:] for r in lag_rolling(df, *args, block_rows=block, limit=0).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            for a, b in zip(got[k], want[k]):
+                assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-5), (block, k, got[k], want[k])
+
+
 def test_running_totals_hot(spark):
     r = T.readings(spark, SF_MID).select("building_id", "reading_id", F.col("anomaly").cast("long").alias("a"))
     hot = running_totals(r, ["building_id"], ["reading_id"], ["a"], limit=0)
