@@ -70,6 +70,8 @@ PROPERTIES = {
     "M10_pca_view": lambda r: len(r) == N_ALL and abs(np.mean([x["pc1"] for x in r])) < 1e-6,
     "M10_pca_explained_variance": lambda r: len(r) == 2 and 0 < sum(x["explained_ratio"] for x in r) <= 1,
     "M12_train_evaluate_all": lambda r: metrics(r, DETECTORS),
+    # what is planted is found: a shuffled label gives an AUC of about 0.5
+    "M12_planted_intervals": lambda r: metrics(r, DETECTORS) and all(x["auc"] > 0.7 for x in r) and all(x["tp"] + x["fn"] > 10 for x in r),
     "M15_prediction_overlay": lambda r: {x["model"] for x in r} <= DETECTORS and all(x["prediction"] == 1 and 0 <= x["f1_score"] <= 1 for x in r),
     "C8_train_detection_models": lambda r: metrics(r, {"random_forest", "isolation_forest"}),
     "C9_pca_view": lambda r: len(r) == N_ALL and 0 < r[0]["pc2_ratio"] <= r[0]["pc1_ratio"] <= 1,
@@ -129,6 +131,33 @@ def test_lof_with_few_rows(spark, n):
         assert max(got, key=lambda r: r["score"])["id"] == n
 
 
+def test_suite_finds_what_is_planted_and_nothing_in_shuffled_labels(spark):
+    """Each detector, by metrics, overlay and summary; a dropped detector or
+    a shuffled label shows."""
+    from wattlane.operators.evaluate import results_summary
+    from wattlane.plans.q_models import overlay
+    g = np.random.default_rng(9)
+    feats = ["f0", "f1", "f2", "f3"]
+    x = np.vstack([g.normal(size=(360, 4)), g.normal(size=(40, 4)) + 7])
+    y = np.repeat([0, 1], [360, 40])
+    labels = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(y, g.permutation(y)))], "id long, label int, shuffled int")
+    train = frame(spark, g.normal(size=(500, 4)))
+    test = frame(spark, x).join(labels, "id")
+    m, scored = scorer.train_all(train, test, feats, "id")
+    rows = {r["model"]: r for r in m.collect()}
+    assert set(rows) == DETECTORS and all(r["auc"] > 0.99 and r["recall"] > 0.4 for r in rows.values())
+    assert len(results_summary(m).collect()) == len(DETECTORS)
+    over = overlay(m, scored).collect()
+    assert {r["model"] for r in over} == DETECTORS
+    for name in DETECTORS:
+        mine = [r for r in over if r["model"] == name]
+        assert np.mean([r["label"] for r in mine]) > 0.4 and all(r["f1_score"] == rows[name]["f1_score"] for r in mine)
+    from wattlane.operators.evaluate import evaluate
+    for name, s in scored.items():
+        mixed = evaluate(s.drop("label").join(labels.select("id", F.col("shuffled").alias("label")), "id"), name).first()
+        assert 0.35 < mixed["auc"] < 0.65
+
+
 def test_models_round_trip_and_threshold(spark):
     from wattlane.session import scratch_path
     g = np.random.default_rng(1)

@@ -116,17 +116,32 @@ DETECTOR_FEATURES = ("meter_reading", "hour_sin", "hour_cos", "day_sin", "day_co
                      "meter_reading_rolling_std_24")
 
 
-def detector_frame(spark, sf_dir: str):
+def planted(spark, sf_dir: str) -> DataFrame:
+    """Labelled readings with planted truth: where two or more error events
+    of a building follow each other, the readings they cover are multiplied
+    by four, and ``label`` marks the rows so covered."""
+    from wattlane.operators.load import overlay_intervals, run_events
+    from wattlane.operators.ordering import with_positions
+    from wattlane.sources.tables import labelled
+
+    pos = with_positions(labelled(spark, sf_dir), ["building_id"], ["timestamp", "reading_id"], "pos")
+    runs = run_events(pos, "building_id", "pos", F.col("label") == 1, "meter_reading")
+    ev = runs.where("length > 1").withColumns({"op": F.lit("multiply"), "factor": F.lit(4.0)})
+    return overlay_intervals(pos, ev).withColumn("label", F.col("flag")).drop("pos", "flag")
+
+
+def detector_frame(spark, sf_dir: str, rows: DataFrame | None = None):
     """Panel for judging detectors: lag / rolling features of the readings,
     chronological 80/20 split, standardised with the training part's
-    statistics (population std). The label is the error event: no feature
-    is derived from it. Returns (train_normal, test, feature names)."""
+    statistics (population std). The label is the error event, of which no
+    feature is derived, unless labelled ``rows`` are given. Returns
+    (train_normal, test, feature names)."""
     from wattlane.operators.quality import Scaler, fill_zero
     from wattlane.operators.windows import chronological_split
     from wattlane.sources.tables import labelled
 
     cols = list(DETECTOR_FEATURES)
-    feats = fill_zero(additional_features(labelled(spark, sf_dir)), cols)
+    feats = fill_zero(additional_features(labelled(spark, sf_dir) if rows is None else rows), cols)
     sp = materialize(chronological_split(feats, ["timestamp", "building_id", "reading_id"], 0.2, "is_test"), "detector-split")
     train = sp.where("is_test = 0")
     z = Scaler.fit(train, cols).transform(sp)

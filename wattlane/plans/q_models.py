@@ -21,7 +21,7 @@ from wattlane.operators.evaluate import detected_rate, evaluate
 from wattlane.operators.explore import numeric_columns
 from wattlane.operators.quality import Scaler
 from wattlane.plans.catalog import register
-from wattlane.plans.pipelines import detector_frame, supervised_frame
+from wattlane.plans.pipelines import detector_frame, planted, supervised_frame
 from wattlane.session import materialize, scratch_path
 from wattlane.sources import tables as T
 
@@ -182,6 +182,14 @@ def m12(spark, sf_dir):
     return _all(spark, sf_dir)[0]
 
 
+@register("M12_planted_intervals")
+def m12p(spark, sf_dir):
+    """All four detectors on readings with planted intervals as truth:
+    figures that say how well each finds them."""
+    train_n, test, feats = detector_frame(spark, sf_dir, planted(spark, sf_dir))
+    return train_all(train_n, test, feats, "reading_id", "label")[0]
+
+
 def overlay(metrics, scored):
     """Predicted-positive rows of each detector with its F1."""
     out = None
