@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wattlane.operators import evaluate as EV
+from wattlane.operators import explore as X
 from wattlane.operators.split import stratified_split
 from wattlane.operators.windows import chronological_split
 from wattlane.sources import tables as T
@@ -46,3 +47,25 @@ def test_pca_ratios_sum_at_most_one(spark):
     _, var = pca_view(r, ["meter_reading", "h", "d"], 2)
     ratios = [x.explained_ratio for x in var.collect()]
     assert 0 < sum(ratios) <= 1.0 + 1e-9 and ratios[0] >= ratios[1]
+
+
+def test_profile_counts_in_one_scan(spark, tmp_path):
+    """Distinct values and NULLs of columns of all kinds, as count(DISTINCT)
+    has them; one scan and one exchange of values in the plan."""
+    rows = [(i % 5, None if i % 4 == 0 else float(i % 3 - 1), "x" * (i % 70), i % 2 == 0, bytes([i % 6]), [i % 3, None]) for i in range(210)]
+    rows += [(1, -0.0, None, None, None, None), (1, float("nan"), "", True, b"", []), (1, float("nan"), "", True, b"", [])]
+    schema = "a int, b double, c string, d boolean, e binary, f array<int>"
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    df = spark.read.parquet(path)
+    out = X.column_profile(df)
+    got = [tuple(r) for r in out.orderBy("ordinal").collect()]
+    for i, c in enumerate(df.columns):
+        d, z = df.select(F.count_distinct(c), F.count_if(F.col(c).isNull())).first()
+        assert got[i][:5] == (i, c, df.schema[c].dataType.simpleString(), d, z)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1
+    rough = [tuple(r)[:3] for r in X.column_profile(df, approx=True).orderBy("ordinal").collect()]
+    assert rough == [g[:3] for g in got]
+    empty = X.column_profile(df.limit(0)).collect()
+    assert len(empty) == 6 and all(r.distinct_values == 0 and r.null_values == 0 and r.completeness is None for r in empty)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, FloatType, MapType, NumericType, StructType
 
 from wattlane.operators.ordering import one_row, quantiles
 
@@ -35,20 +35,46 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """(ordinal, column, type, distinct, nulls, completeness text) per column.
 
     Distinct counts exclude NULL. ``approx=True`` uses HyperLogLog++
-    (``approx_count_distinct``) instead of exact distinct counts. Exact
-    counts take one aggregate per column: together they would be planned as
-    an Expand, one copy of the whole table per column.
+    (``approx_count_distinct``), one aggregate for all columns. Exact counts
+    read the table once, whatever the number of columns: every row becomes
+    one (ordinal, value) pair a column, equal pairs are combined before the
+    one exchange that brings a value's pairs together, and what is left is
+    counted by column.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    dist = F.approx_count_distinct if approx else F.count_distinct
-    long = None
-    for i, c in enumerate(df.columns):
-        row = df.select(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
-                        dist(F.col(c)).alias("distinct_values"), F.count_if(F.col(c).isNull()).alias("null_values"),
-                        F.count(F.lit(1)).alias("n"))
-        long = row if long is None else long.unionByName(row)
+    spark = df.sparkSession
+    kinds = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    names = spark.createDataFrame(kinds, "ordinal int, column_name string, data_type string")
+    if approx:
+        wide = df.select(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(df.columns) for x in (
+            F.approx_count_distinct(F.col(c)).alias(f"d{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}"))])
+        stack = ", ".join(f"{i}, d{i}, z{i}" for i in range(len(kinds)))
+        counts = wide.selectExpr("n", f"stack({len(kinds)}, {stack}) AS (ordinal, distinct_values, null_values)")
+    else:
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), _as_text(df, c).alias("value")) for i, c in enumerate(df.columns)])).alias("p"))
+        each = pairs.groupBy("p.ordinal", "p.value").agg(F.count("*").alias("k"))
+        counts = each.groupBy("ordinal").agg(F.count("value").alias("distinct_values"),
+                                             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("k"))), F.lit(0)).alias("null_values"), F.sum("k").alias("n"))
+    # one row a column: of an empty table there are no pairs
+    out = names.join(counts, "ordinal", "left").select(*names.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("distinct_values", "null_values", "n")])
     pct = F.bround(F.try_divide((F.col("n") - F.col("null_values")) * 100.0, F.col("n")), 1)
-    return long.withColumn("completeness", F.concat(F.format_string("%.1f", pct), F.lit("%"))).drop("n")
+    return out.withColumn("completeness", F.when(pct.isNotNull(), F.concat(F.format_string("%.1f", pct), F.lit("%")))).drop("n")
+
+
+def _as_text(df: DataFrame, c: str) -> Column:
+    """A text that tells the column's values apart as ``=`` does (0.0 and
+    -0.0 are one value); long ones by their SHA-256."""
+    kind = df.schema[c].dataType
+    v = F.col(c)
+    if isinstance(kind, (DoubleType, FloatType)):
+        t = F.when(v == 0, F.lit("0")).otherwise(v.cast("string"))
+    elif isinstance(kind, BinaryType):
+        t = F.hex(v)
+    elif isinstance(kind, (ArrayType, MapType, StructType)):
+        t = F.to_json(F.struct(v))
+        t = F.when(v.isNotNull(), t)
+    else:
+        t = v.cast("string")
+    return F.when(F.length(t) > 60, F.concat(F.lit("sha256:"), F.sha2(t, 256))).otherwise(t)
 
 
 def dataset_summary(df: DataFrame, key: str = "building_id", label: str = "anomaly",
