@@ -162,9 +162,9 @@ def test_repeated_words_with_many_kinds():
     assert D.repeated_words(np.zeros(2, np.int64)) == 0 and D.repeated_words(np.zeros(3, np.int64)) == 0
 
 
-def test_held_counts_and_empty_table(spark, rows, no_docs, monkeypatch):
+def test_portions_add_up_and_empty_table(spark, rows, no_docs):
     assert D.quality(no_docs).count() == 0
     t = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     whole = {lang: (r.words.tolist(), r.classes.tolist(), list(r.index)) for lang, r in D.references(t.coalesce(1)).items()}
     apart = {lang: (r.words.tolist(), r.classes.tolist(), list(r.index)) for lang, r in D.references(t.repartition(7)).items()}
-    assert whole == apart and set(whole) == {"en", "xx", "rare"} - ({"rare"} if "rare" not in whole else set())
+    assert whole == apart and {"en", "xx"} <= set(whole)

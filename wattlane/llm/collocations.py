@@ -198,8 +198,8 @@ class ContextBWT:
     def _order(self, keys: list[np.ndarray]) -> np.ndarray:
         """Rows by the first key, then the second ... (the rank of what is
         sorted so far and the next symbol, packed over the row)."""
-        row, rank, most = np.arange(self.n), keys[0].astype(np.int64), self.symbols
-        order = packed_order(rank, most)
+        rank = keys[0].astype(np.int64)
+        order, most = packed_order(rank, self.symbols), self.symbols
         for key in keys[1:]:
             both = rank * self.symbols + key
             order = packed_order(both, most * self.symbols)
@@ -207,7 +207,7 @@ class ContextBWT:
             rank = np.empty(self.n, np.int64)
             rank[order] = np.cumsum(step) - 1
             most = int(step.sum())
-        return order if len(keys) else row
+        return order
 
     @staticmethod
     def starts(transform: np.ndarray) -> np.ndarray:
