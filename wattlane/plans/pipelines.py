@@ -24,8 +24,8 @@ def preprocess_script(df: DataFrame, value: str = "meter_reading", key: str = "b
     median imputation, per-building stats joined back, consumption ratio.
     ``stats_rows`` restricts the rows that the building stats are taken
     from (the training part, say)."""
-    out = add_calendar(df, ts, minute=True, day_cycle=False)
-    out = impute_median(out, value, key)
+    # the imputation moves and writes rows, so what follows from them is added later
+    out = add_calendar(impute_median(df, value, key), ts, minute=True, day_cycle=False)
     stats = building_stats(out if stats_rows is None else out.where(stats_rows), value, key, "building_")
     out = out.join(stats, [key], "left")   # small side: AQE broadcasts by measured size
     return out.withColumn("consumption_ratio", ratio_to_mean(F.col(value), F.col("building_mean")))
@@ -34,7 +34,7 @@ def preprocess_script(df: DataFrame, value: str = "meter_reading", key: str = "b
 def preprocess_dashboard(df: DataFrame, value: str = "meter_reading", key: str = "building_id",
                          ts: str = "timestamp") -> DataFrame:
     """Dashboard variant: calendar parts, month/hour/weekday cycles, median imputation."""
-    return impute_median(add_calendar(df, ts, minute=False, day_cycle=True), value, key)
+    return add_calendar(impute_median(df, value, key), ts, minute=False, day_cycle=True)
 
 
 def additional_features(df: DataFrame, value: str = "meter_reading", key: str = "building_id",
